@@ -78,4 +78,56 @@ SELECT doc_id, size, source_size, target,
 FROM q
 """
 
-SQL: dict[str, str] = {"op9_quality": QUALITY, "op10_mixing": MIXING}
+
+
+def _places(kind: str, rank: int, pattern: str, good: str) -> str:
+    """Rows (r, rank, kind, start, stop, m) of a pattern's matches for which ``good`` holds of m."""
+    return f"""
+  SELECT r, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop, m FROM (
+    SELECT r, i, m, (sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) - length(m))::BIGINT AS start FROM (
+      SELECT r, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g
+      FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM base)
+    )
+  ) WHERE {good}"""
+
+
+def _digest(parts: list[str], kinds: tuple, order: str) -> str:
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}')::BIGINT AS n_{k}" for k in kinds)
+    spans = f"coalesce(string_agg(kind || ':' || start::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY {order}), '')"
+    base = " OR ".join(f"kind = '{k}'" for k in kinds)
+    return f"""
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, {counts},
+       sha256(coalesce(string_agg(kind || ':' || start::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY {order}) FILTER (WHERE {base}), '')) AS base_sha256,
+       {spans} AS spans
+FROM base LEFT JOIN s USING (r) GROUP BY r, doc_id
+"""
+
+
+_LUHN = """list_sum(list_transform(range(0, length(d)), lambda i:
+    CASE WHEN i % 2 = 0 THEN d[length(d) - i]::INT
+         WHEN 2 * d[length(d) - i]::INT > 9 THEN 2 * d[length(d) - i]::INT - 9 ELSE 2 * d[length(d) - i]::INT END)) % 10 = 0"""
+_D = "regexp_replace(m, '[^0-9]', '', 'g')"
+_OCTETS = "list_max(list_transform(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 WHEN ltrim(x, '0') = '' THEN 0 ELSE ltrim(x, '0')::INT END)) <= 255"
+PII = _digest(
+    [
+        _places("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        _places("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", _OCTETS),
+        _places("card", 2, r"[0-9](?:[\x20-]?[0-9])+", f"length({_D}) BETWEEN 16 AND 19 AND {_LUHN.replace('d[', _D + '[').replace('length(d)', f'length({_D})')}"),
+        _places("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_D}) BETWEEN 8 AND 15"),
+    ],
+    ("email", "ip", "card", "phone"),
+    "rank, start",
+)
+_ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?"""
+SECRETS = _digest(
+    [
+        _places("assign", 0, _ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(m, '^{_ASSIGN}([A-Za-z0-9+/_.=-]+)', 1)) >= 12"),
+        _places("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 18"),
+        _places("hex", 2, "[0-9a-f]+", "length(m) >= 16"),
+    ],
+    ("assign", "access", "hex"),
+    "start, rank",
+)
+
+SQL: dict[str, str] = {"op1_pii": PII, "op6_secrets": SECRETS, "op9_quality": QUALITY, "op10_mixing": MIXING}

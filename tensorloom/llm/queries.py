@@ -5,13 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import bpe, mixing, oracles, quality
+from tensorloom.llm import bpe, mixing, oracles, pii, quality, secret_scan, sharding
+from tensorloom.llm.spans import joined
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _counts(spans: str, kinds: tuple) -> list:
+    """The number of spans of each kind, as longs."""
+    of = lambda k: F.filter(spans, lambda s: s["kind"] == k)
+    return [F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds]
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; the base kinds' digest and all spans."""
+    found = pii.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *_counts("spans", pii.BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight shards of near equal bytes."""
+    dealt = sharding.shard(_table(spark, sf_dir, "documents"))
+    return dealt.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; the base kinds' digest and all spans."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select("doc_id", *_counts("spans", secret_scan.BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of its ids and of the text they decode to."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,5 +63,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {"op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op6_secrets": op6_secrets, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 ORACLES = oracles.SQL
