@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import bpe, mixing, oracles, pii, quality, secret_scan, sharding
+from tensorloom.llm import bpe, jaccard, mixing, oracles, pii, quality, secret_scan, sharding
 from tensorloom.llm.spans import joined
 
 
@@ -39,6 +39,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *_counts("spans", secret_scan.BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are 85 % alike."""
+    found = jaccard.join(_table(spark, sf_dir, "documents"), k=4, threshold=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of its ids and of the text they decode to."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,5 +69,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op6_secrets": op6_secrets, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op6_secrets": op6_secrets, "op7_jaccard": op7_jaccard, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 ORACLES = oracles.SQL

@@ -33,3 +33,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def blank(text: Column) -> Column:
     """A null text as the empty text."""
     return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def bound_batches(spark: SparkSession, most_bytes: int = 32 << 20) -> None:
+    """Hold the batches that go to Python workers to so many bytes, however long the texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 1)).rstrip("b") or 2**31) > most_bytes:
+        spark.conf.set(name, str(most_bytes))
