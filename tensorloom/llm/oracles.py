@@ -130,4 +130,16 @@ SECRETS = _digest(
     "start, rank",
 )
 
-SQL: dict[str, str] = {"op1_pii": PII, "op6_secrets": SECRETS, "op9_quality": QUALITY, "op10_mixing": MIXING}
+TOP_K = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: coalesce(x > 0, false)) AS s FROM embeddings WHERE len(embedding) = 64
+), d AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS id,
+         len(list_filter(list_zip(q.s, r.s), lambda p: p[1] <> p[2]))::INT AS distance
+  FROM e q, e r WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INT AS rank, id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 10
+"""
+
+SQL: dict[str, str] = {"op1_pii": PII, "op5_top_k": TOP_K, "op6_secrets": SECRETS, "op9_quality": QUALITY, "op10_mixing": MIXING}

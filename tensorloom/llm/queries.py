@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import bpe, jaccard, mixing, oracles, pii, quality, secret_scan, sharding
+from tensorloom.llm import bpe, hamming, jaccard, licenses, mixing, oracles, pii, quality, secret_scan, sharding, urlfilter
 from tensorloom.llm.spans import joined
 
 
@@ -32,6 +32,24 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license of every document, with ``source/lang/doc_id.txt`` as its path."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), keys=("doc_id",))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every 50th vector, among all vectors."""
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(codes, codes.where(F.col("id") % 50 == 0))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; the base kinds' digest and all spans."""
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
@@ -69,5 +87,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op6_secrets": op6_secrets, "op7_jaccard": op7_jaccard, "op8_bpe": op8_bpe, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_sharding": op2_sharding,
+    "op3_licenses": op3_licenses,
+    "op4_urls": op4_urls,
+    "op5_top_k": op5_top_k,
+    "op6_secrets": op6_secrets,
+    "op7_jaccard": op7_jaccard,
+    "op8_bpe": op8_bpe,
+    "op9_quality": op9_quality,
+    "op10_mixing": op10_mixing,
+}
 ORACLES = oracles.SQL
