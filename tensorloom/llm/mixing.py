@@ -59,9 +59,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
     own = own.withColumn("cap_words", F.col("source_size") * F.lit(float(cap)))
     rest_words = F.sum("source_size").over(every) - F.coalesce(F.sum("cap_words").over(before), F.lit(0.0))
     rest_weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    own = own.withColumn("level", F.when(rest_words / rest_weight <= ratio, rest_words / rest_weight))
-    # The first source that stays below its cap sets the level; where none does, all are capped.
-    own = own.withColumn("level", F.min("level").over(every))
+    level = rest_words / rest_weight
+    own = own.withColumn("level", F.when(level <= ratio, F.struct(F.row_number().over(rising), level.alias("x"))))
+    # The first source in this order that stays below its cap sets the level for all; where none does, all are capped.
+    own = own.withColumn("level", F.min("level").over(every)["x"])
     target = F.least(F.col("cap_words"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap_words")))
     return own.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 

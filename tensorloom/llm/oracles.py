@@ -58,8 +58,14 @@ WITH d AS (
     ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lvl
   FROM o
+), f AS (
+  -- The level is the candidate at which the capped shares add up to all words.
+  SELECT max(lvl) AS level FROM (
+    SELECT x.lvl FROM (SELECT DISTINCT lvl FROM c WHERE lvl > 0) x, c GROUP BY x.lvl
+    HAVING abs(sum(least(c.cap, x.lvl * c.weight)) - sum(c.source_size)) <= 1e-9 * sum(c.source_size)
+  )
 ), l AS (
-  SELECT *, min(CASE WHEN lvl <= ratio THEN lvl END) OVER () AS level FROM c
+  SELECT c.*, f.level FROM c, f
 ), g AS (
   SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM l
 ), h AS (
