@@ -18,12 +18,14 @@ empty ledger. Extra columns are not read; :func:`keep` hands them on whatever th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.scratch import blank
+from tensorloom.llm.spans import bind
 from tensorloom.llm.words import NOT_BLANK, words
 
 #: Characters that count as symbols.
@@ -33,21 +35,21 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` is a Boolean SQL expression over the measurements, in whole numbers throughout."""
+    """``fails`` decides from the measurements, in whole numbers throughout."""
 
     name: str
-    fails: str
+    fails: Callable[[Column], Column]
 
 
 #: A rule's place is its bit; rules are only ever added at the end.
 RULES = (
-    Rule("too_few_words", "n_words < 50"),
-    Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    Rule("many_symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 4 * n_lines"),
-    Rule("short_words", "word_chars < 3 * n_words"),
-    Rule("long_words", "word_chars > 12 * n_words"),
-    Rule("few_alphabetic_words", "10 * n_alpha_words < 8 * n_words"),
+    Rule("too_few_words", lambda m: m["n_words"] < 50),
+    Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    Rule("many_symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    Rule("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 4 * m["n_lines"]),
+    Rule("short_words", lambda m: m["word_chars"] < 3 * m["n_words"]),
+    Rule("long_words", lambda m: m["word_chars"] > 12 * m["n_words"]),
+    Rule("few_alphabetic_words", lambda m: 10 * m["n_alpha_words"] < 8 * m["n_words"]),
 )
 BASE = ("too_few_words", "repeated_words")
 #: Versioned policies: name to rules.
@@ -64,43 +66,60 @@ def mask(policy: str) -> int:
     return sum(1 << names.index(r) for r in POLICIES[policy])
 
 
-def _in_repeated_windows(tokens: Column, windows: Column, size: int) -> Column:
-    """How many tokens lie in a window that occurs twice or more."""
-    placed = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+def _in_repeated_windows(windows: Column, size: int) -> Column:
+    """How many tokens lie in a window of ``size`` tokens that occurs twice or more."""
 
-    def repeated(order: Column) -> Column:
+    def covered(order: Column) -> Column:
         same = lambda a, b: F.get(order, a)["w"].eqNullSafe(F.get(order, b)["w"])
         last = F.size(order) - 1
         twice = F.filter(order, lambda x, j: ((j > 0) & same(j, j - 1)) | ((j < last) & same(j, j + 1)))
-        covered = F.flatten(F.transform(twice, lambda x: F.array(*[x["i"] + k for k in range(size)])))
-        return F.size(F.array_distinct(covered))
+        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(*[x["i"] + k for k in range(size)])))))
 
-    # A one-element transform binds the sorted array once for the lambdas below it.
-    return F.get(F.transform(F.array(placed), repeated), F.lit(0))
+    return bind(F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), covered)
+
+
+def measured(text: Column) -> Column:
+    """The ledger entry of a text: a struct of the measurements and ``failures``.
+
+    Every intermediate array is bound once, so the expression may be moved (into a filter, say)
+    without being evaluated anew for each element.
+    """
+    long = lambda c, name: c.cast("long").alias(name)
+
+    def windows(w: Column) -> Column:
+        at = lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(3)])
+        last = F.size(w) - 3
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<string>"))
+
+    def repeats(w: Column) -> Column:
+        some = lambda x: F.size(F.array_distinct(x)) < F.size(x)
+        return bind(windows(w), lambda x: F.when(some(x), _in_repeated_windows(x, 3)).otherwise(F.lit(0)))
+
+    def measure(t: Column, w: Column, lines: Column) -> Column:
+        return F.struct(
+            long(F.size(w), "n_words"),
+            long(F.length(F.array_join(w, "")), "word_chars"),
+            long(F.length(t) - F.length(F.translate(t, SYMBOLS, "")), "n_symbols"),
+            long(F.size(lines) - F.size(F.array_distinct(lines)), "n_dup_lines"),
+            long(repeats(w), "n_repeat_words"),
+            long(F.size(lines), "n_lines"),
+            long(F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))), "n_alpha_words"),
+        )
+
+    def judged(m: Column) -> Column:
+        failures = F.lit(0).cast("long")
+        for i, rule in enumerate(RULES):
+            failures = failures.bitwiseOR(F.when(rule.fails(m), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        return F.struct(*[m[x].alias(x) for x in MEASURES], failures.alias("failures"))
+
+    full_lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_BLANK))
+    entry = lambda t: bind(words(t), lambda w: bind(full_lines(t), lambda lines: bind(measure(t, w, lines), judged)))
+    return bind(blank(text), entry)
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, the measurements (longs) and ``failures`` (long): one row per row of ``docs``."""
-    got = docs.select(F.col(key).alias("key"), blank(F.col(text)).alias("t"))
-    got = got.withColumn("w", words(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(NOT_BLANK)))
-    last = F.size("w") - 3
-    window = lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(3)])
-    got = got.withColumn("windows", F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window)).otherwise(F.array().cast("array<string>")))
-    some = F.size(F.array_distinct("windows")) < F.size("windows")
-    got = got.select(
-        "key",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(some, _in_repeated_windows(F.col("w"), F.col("windows"), 3)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.filter("w", lambda x: x.rlike(r"\p{L}"))).cast("long").alias("n_alpha_words"),
-    )
-    failures = F.lit(0).cast("long")
-    for i, rule in enumerate(RULES):
-        failures = failures.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return got.select(F.col("key").alias(key), *MEASURES, failures.alias("failures"))
+    return docs.select(F.col(key), measured(F.col(text)).alias("__entry")).select(key, *[F.col("__entry")[x].alias(x) for x in (*MEASURES, "failures")])
 
 
 def passes(policy: str = POLICY, failures: str = "failures") -> Column:
@@ -130,8 +149,4 @@ def ablation(book: DataFrame, policy: str = POLICY) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = POLICY, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the policy, columns unchanged; judged in the scan, no join."""
-    whole = F.struct(*[docs[c].alias(c) for c in docs.columns])
-    held = docs.select(whole.alias("row"), docs[text].alias("text"))
-    # The ledger's key is the row itself, so the verdict travels with it.
-    book = ledger(held, key="row", text="text")
-    return book.where(passes(policy)).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return docs.where(measured(docs[text])["failures"].bitwiseAND(F.lit(mask(policy)).cast("long")) == 0)
