@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tensorloom.plans import library
+
+QUERIES = dict(library.QUERIES)
+ORACLES = dict(library.ORACLES)
