@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tensorloom.llm.scratch import for_workers
+
 #: Longest word in bytes that is merged by scanning.
 LONG = 64
 #: Words remembered by one worker.
@@ -183,12 +185,14 @@ def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.Da
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with the ids of ``text`` in the binary column ``out``."""
     path = path or public_vocabulary()
+    for_workers(df.sparkSession)
     return _mapped(df, text, out, T.BinaryType(), pa.binary(), lambda x: codec(path).encode(x or ""))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with the text of the binary column ``ids`` in the string column ``out``."""
     path = path or public_vocabulary()
+    for_workers(df.sparkSession)
     return _mapped(df, ids, out, T.StringType(), pa.string(), lambda x: codec(path).decode(x or b""))
 
 

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.scratch import written
+from tensorloom.llm.scratch import for_workers, written
 
 BITS, SEGMENTS = 64, 4
 BLOCK_ROWS = 32_768
@@ -130,6 +130,7 @@ def _searching(held: Broadcast, k: int):
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), id, distance, for ``rows(id, code)`` and ``queries(id, code)``."""
     spark = rows.sparkSession
+    for_workers(spark)
     rows = written(rows.where(F.col("id").isNotNull() & F.col("code").isNotNull()).select("id", "code"), "codes")
     queries = written(queries.where(F.col("id").isNotNull() & F.col("code").isNotNull()).select("id", "code").distinct(), "queries")
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))

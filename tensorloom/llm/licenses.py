@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.scratch import bound_batches, written
+from tensorloom.llm.scratch import for_workers, written
 
 THRESHOLD = 0.6
 #: Words of a line that are scored together; longer lines are windows that overlap by half.
@@ -145,7 +145,7 @@ def ancestors(path: Column) -> Column:
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", keys: tuple = ()) -> DataFrame:
     """``keys``, path, license, score, origin ('own', 'inherited' or null), notices, from_dir."""
-    bound_batches(files.sparkSession)
+    for_workers(files.sparkSession)
     held = files.sparkSession.sparkContext.broadcast(frequencies(files, text))
     rows = files.select(*keys, F.coalesce(F.col(path).cast("string"), F.lit("")).alias("__path"), F.col(text).cast("string").alias("__text"))
     schema = rows.drop("__text").schema.add("own", "string").add("score", "double").add("notices", "long").add("whole", "double")

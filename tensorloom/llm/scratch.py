@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder, without a trailing slash."""
@@ -35,8 +37,12 @@ def blank(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def bound_batches(spark: SparkSession, most_bytes: int = 32 << 20) -> None:
-    """Hold the batches that go to Python workers to so many bytes, however long the texts."""
+def for_workers(spark: SparkSession, most_bytes: int = 32 << 20) -> None:
+    """Make Python workers ready: the package within reach, batches held to so many bytes.
+
+    Without a bound in bytes a batch is bounded by rows alone, and grows with the texts' length.
+    """
+    ship(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, str(2**31 - 1)).rstrip("b") or 2**31) > most_bytes:
+    if int(spark.conf.get(name, str(2**31 - 1)).rstrip("b")) > most_bytes:
         spark.conf.set(name, str(most_bytes))
