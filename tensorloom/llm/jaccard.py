@@ -6,8 +6,9 @@ links. It loses no link between different texts and emits no pairs within a grou
 
 1. *Classes.* Documents with equal sets are one class from the start (a 128-bit digest of the set),
    so copies cost one row each, whatever their number.
-2. *Groups.* Similar classes are put together by the least hash of their set (two sets agree in it
-   with the probability of their similarity), in groups of ``GROUP_ROWS`` classes or so.
+2. *Groups.* Similar classes are put together by the least hash of their set that is not frequent
+   (two sets agree in it with about the probability of their similarity), in groups of
+   ``GROUP_ROWS`` classes or so.
 3. *Matrix.* For each group the union of its classes' prefix tokens is stored, one row per token
    and group. The prefix of a set of ``n`` are its first ``n - a + l`` tokens in one global order,
    where ``a`` is the least intersection that a link needs and ``l = min(LEAST_SHARED, a)``: two
@@ -15,17 +16,20 @@ links. It loses no link between different texts and emits no pairs within a grou
    in their prefix (passages that many documents share) come last in the order, so they leave the
    prefixes of all but the texts made of them. The order is a matter of speed, never of the result.
 4. *Bound.* The matrix is joined with itself on the token; groups that share fewer than ``l``
-   tokens cannot hold a link and stay closed.
-5. *Opening.* Only the texts of groups that qualify are read again. Inside an opened pair of groups
-   a set is compared with the other group's members only if its overlap with the union of their
-   whole sets reaches ``a``; the comparison is exact on whole sets. A spanning forest of the links
-   found goes on to the components.
+   tokens cannot hold a link and stay closed for each other. The others form clusters. Tokens that
+   more than ``HOT`` groups share (near copies by the thousand) give one edge a group to the token's
+   first group instead of pairs: two sets that share such a token are in one cluster in any case.
+5. *Opening.* Only the texts of groups that qualify are read again, once each. Inside a cluster a
+   set opens a group only if its overlap with the union of the group's whole sets reaches ``a`` and
+   a member is not connected to it yet; the comparison is exact on whole sets. A spanning forest of
+   the links found goes on to the components, so near copies by the thousand give one row each.
 
 Scale: the text is scanned twice (order, matrix) without a shuffle; what is shuffled are about 16 %
-of the tokens, as fixed-width rows. Broadcasts are of counted size: the frequent tokens
-(``MOST_FREQUENT`` at most; the frequency that counts as frequent rises until they fit) and lists of
-copies, groups and candidates up to ``BROADCAST_ROWS`` rows, beyond which they are joined by
-shuffles. A pair of groups is one bounded task unit of at most a few hundred sets.
+of the tokens, as fixed-width rows, and the sets of documents that have a candidate. Broadcasts are
+of counted size: the frequent tokens (``MOST_FREQUENT`` at most; the frequency that counts as
+frequent rises until they fit) and lists of copies, groups and candidates up to ``BROADCAST_ROWS``
+rows, beyond which they are joined by shuffles. A cluster of more than ``UNIT_ROWS`` classes is cut
+into blocks and compared by pairs of blocks, each a task of bounded memory.
 
 Defined results: a text with fewer than ``k`` words is one shingle, its whole sequence of words. A
 null text or one without words has an empty set, links with nothing and is its own component.
@@ -44,16 +48,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.components import components
-from tensorloom.llm.scratch import bound_batches, written
+from tensorloom.llm.scratch import for_workers, written
 
 #: Shared prefix tokens that a pair of groups needs before it is opened.
 LEAST_SHARED = 4
 #: A token in the prefix of more documents than this comes last in the order.
 FREQUENT = 50
+#: A token in more groups than this links them into one cluster instead of giving pairs.
+HOT = 64
 #: Frequent tokens that are broadcast at most (8 bytes each).
 MOST_FREQUENT = 1_000_000
 #: Classes in one group, about.
 GROUP_ROWS = 256
+#: Classes in one block of a cluster, about; a task compares two blocks at most.
+UNIT_ROWS = 1024
 #: Rows (under 40 bytes each) of a side that is broadcast at most.
 BROADCAST_ROWS = 500_000
 #: Words whose hash a worker remembers.
@@ -154,19 +162,21 @@ def _sketches(docs: DataFrame, frequent: np.ndarray, k: int, threshold: int) ->
         for batch in _slices(batches):
             key, mark, text = _columns(batch, "key", "mark", "text")
             sets = [shingles(t, k) for t in text.to_pylist()]
-            prefixes, shared = [], []
+            prefixes, shared, least = [], [], []
             for s in sets:
                 length, must = prefix_length(len(s), threshold)
                 at = np.minimum(np.searchsorted(last, s), max(len(last) - 1, 0))
                 often = last[at] == s if len(last) else np.zeros(len(s), bool)
-                few = s[~often][:length]
+                rest = s[~often]
+                few = rest[:length]
+                least.append(int((rest if len(rest) else s)[:1].view(np.int64)[0]) if len(s) else None)
                 prefixes.append(few if len(few) == length else np.concatenate([few, s[often][: length - len(few)]]))
                 shared.append(must)
             yield pa.RecordBatch.from_arrays(
                 [
                     key, mark, pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets], pa.int64()),
+                    pa.array(least, pa.int64()),
                     pa.array(shared, pa.int32()), _lists(prefixes),
                 ],
                 names=["key", "mark", "n", "digest", "least", "shared", "tokens"],
@@ -194,67 +204,79 @@ def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, set binary")
 
 
-def open_pair(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: int) -> list[tuple[int, int]]:
-    """The spanning forest of the links between two groups' sets, or within one group.
+def open_unit(left: list[tuple], right: list[tuple] | None, threshold: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two lists of (group, set), or within one list.
 
-    Sets are numbered left first. A left set whose overlap with the right sets' union is less than
-    it needs is not compared with any.
+    Places count the left list first. A left set opens a group of the right list if its overlap with
+    the union of that group's sets reaches what it needs and some member is not yet connected to it.
     """
     own = right is None
     right = left if own else right
-    union, flat = np.unique(np.concatenate(right), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in right])[:-1]])
-    sizes, shift = np.array([len(s) for s in right]), 0 if own else len(left)
-    root = list(range(shift + len(right)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    seen = np.zeros(len(union), bool)
-    for i, s in enumerate(left):
-        at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-        at = at[union[at] == s]
+    shift = 0 if own else len(left)
+    by_group: dict[int, list[int]] = {}
+    for j, (group, _) in enumerate(right):
+        by_group.setdefault(group, []).append(j)
+    groups = []
+    for places in by_group.values():
+        union, flat = np.unique(np.concatenate([right[j][1] for j in places]), return_inverse=True)
+        sizes = np.array([len(right[j][1]) for j in places])
+        groups.append((np.array(places), union, flat, np.cumsum(sizes) - sizes, sizes))
+    tokens, every = np.unique(np.concatenate([g[1] for g in groups]), return_inverse=True)
+    lengths = np.array([len(g[1]) for g in groups])
+    starts = np.cumsum(lengths) - lengths
+    label = np.arange(shift + len(right))
+    seen, out = np.zeros(len(tokens), bool), []
+    for i, (_, s) in enumerate(left):
+        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+        at = at[tokens[at] == s]
         if len(at) < needed(len(s), threshold):
             continue
         seen[at] = True
-        both = np.add.reduceat(seen[flat], starts, dtype=np.int64)
+        bound = np.add.reduceat(seen[every], starts, dtype=np.int64)
+        for g in np.flatnonzero(bound >= needed(len(s), threshold)).tolist():
+            places, _, flat, begin, sizes = groups[g]
+            if (label[places + shift] == label[i]).all():
+                continue
+            inside = seen[every[starts[g] : starts[g] + lengths[g]]]
+            both = np.add.reduceat(inside[flat], begin, dtype=np.int64)
+            for j in places[100 * both >= threshold * (len(s) + sizes - both)].tolist():
+                a, b = label[i], label[j + shift]
+                if a != b:
+                    label[label == max(a, b)] = min(a, b)
+                    out.append((i, j + shift))
         seen[at] = False
-        for j in np.flatnonzero(100 * both >= threshold * (len(s) + sizes - both)).tolist():
-            a, b = find(i), find(j + shift)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((i, j + shift))
     return out
 
 
-def _links(units: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """a, b: links of the opened pairs of groups, as digests."""
+def _links(members: DataFrame, threshold: int) -> DataFrame:
+    """a, b: links inside the clusters of ``members(cluster, blocks, block, group, digest, set)``."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["side", "digest"]).sort_values(["side", "digest"])
-        sides = [[np.frombuffer(x, np.uint64) for x in pdf.loc[pdf["side"] == s, "set"]] for s in (0, 1)]
-        own = bool(pdf["own"].iloc[0])
-        digests = pdf["digest"].tolist()
+        pdf = pdf.drop_duplicates(["side", "digest"]).sort_values(["side", "group", "digest"])
+        sides = [[(g, np.frombuffer(x, np.uint64)) for g, x in zip(p["group"], p["set"], strict=True)] for p in (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])]
+        own, digests = bool(pdf["low"].iloc[0] == pdf["high"].iloc[0]), pdf["digest"].tolist()
         if not sides[0] or (not own and not sides[1]):
             return pd.DataFrame({"a": [], "b": []})
-        found = open_pair(sides[0], None if own else sides[1], threshold)
+        found = open_unit(sides[0], None if own else sides[1], threshold)
         return pd.DataFrame({"a": [digests[i] for i, _ in found], "b": [digests[j] for _, j in found]})
 
-    side = lambda s, g: F.struct(F.lit(s).alias("side"), F.col(g).alias("group"))
-    own = F.col("g") == F.col("h")
-    both = units.select("g", "h", own.alias("own"), F.explode(F.when(own, F.array(side(0, "g"))).otherwise(F.array(side(0, "g"), side(1, "h")))).alias("x"))
-    rows = both.select("g", "h", "own", "x.side", "x.group").join(members, "group").select("g", "h", "own", "side", "digest", "set")
-    return rows.groupBy("g", "h").applyInPandas(run, "a binary, b binary")
+    # A cluster of one block is one unit; of more, each pair of blocks is one.
+    rows = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("block", "o")).withColumn("high", F.greatest("block", "o"))
+    rows = rows.select("cluster", "low", "high", F.when(F.col("block") > F.col("o"), 1).otherwise(0).alias("side"), "group", "digest", "set")
+    return rows.groupBy("cluster", "low", "high").applyInPandas(run, "a binary, b binary")
+
+
+def _clustered(groups: DataFrame, edges: DataFrame, kind: int) -> DataFrame:
+    """o, cluster: the groups ``o`` by the component of their edges."""
+    of = groups.join(components(edges), F.col("o") == F.col("node"), "left")
+    return of.select("o", F.xxhash64(F.coalesce("root", "o"), F.lit(kind)).alias("cluster"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, threshold: int = 85) -> DataFrame:
     """Key, n_shingles, component_id and ``class`` (the set's digest): one row per row of ``docs``."""
-    bound_batches(docs.sparkSession)
+    for_workers(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
     sketch = written(_sketches(docs, _frequent(docs, k, threshold), k, threshold), "sketches")
     full = sketch.where(F.col("n") > 0)
@@ -271,20 +293,28 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, t
     cells = nodes.select(F.explode("tokens").alias("token"), "group", "shared", "many")
     matrix = cells.where(~F.col("many")).select("token", "group", "shared")
     matrix = matrix.unionByName(cells.where("many").groupBy("token", "group").agg(F.min("shared").alias("shared")))
-    # 4. The bound: groups that share enough tokens.
-    other = matrix.select("token", F.col("group").alias("other"), F.col("shared").alias("also"))
-    pairs = matrix.join(other, "token").where(F.col("group") < F.col("other")).groupBy("group", "other")
+    # 4. The bound: groups that share enough tokens. Tokens of one group only are gone after this.
+    counts = matrix.groupBy("token").agg(F.count("*").alias("n"), F.min("group").alias("center")).where(F.col("n") > 1)
+    common = written(matrix.join(counts, "token"), "common")
+    cool = common.where(F.col("n") <= HOT).select("token", "group", "shared")
+    other = cool.select("token", F.col("group").alias("other"), F.col("shared").alias("also"))
+    pairs = cool.join(other, "token").where(F.col("group") < F.col("other")).groupBy("group", "other")
     pairs = pairs.agg(F.count("*").alias("n"), F.min(F.least("shared", "also")).alias("must")).where(F.col("n") >= F.col("must"))
-    inner = nodes.where("many").groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    units = pairs.select(F.col("group").alias("g"), F.col("other").alias("h")).unionByName(inner.select(F.col("group").alias("g"), F.col("group").alias("h")))
-    units = written(units, "units")
-    # 5. Opening: the texts of the groups that qualify, read again.
-    opened = written(units.select(F.explode(F.array("g", "h")).alias("o")).distinct(), "opened")
-    inside = written(nodes.select("digest", "mark", "group").join(_small(opened), F.col("group") == F.col("o"), "left_semi"), "inside")
+    pairs = written(pairs.select(F.col("group").alias("a"), F.col("other").alias("b")), "pairs")
+    hot = written(common.where(F.col("n") > HOT).select(F.col("group").alias("a"), F.col("center").alias("b")).distinct(), "hot")
+    # 5. Opening: groups that qualify for each other form clusters, whose texts are read again.
+    many = nodes.where("many").groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1).select(F.col("group").alias("o"))
+    opened = _clustered(pairs.select(F.explode(F.array("a", "b")).alias("o")).unionByName(many).distinct(), pairs, 0)
+    opened = opened.unionByName(_clustered(hot.select(F.explode(F.array("a", "b")).alias("o")).distinct(), hot, 1))
+    inside = nodes.select("digest", "mark", "group").join(_small(written(opened, "opened")), F.col("group") == F.col("o")).drop("o").distinct()
+    inside = written(inside, "inside")
+    blocks = inside.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(UNIT_ROWS)).cast("int").alias("blocks"))
+    inside = inside.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("group", F.when(F.col("blocks") > 1, F.col("digest"))), F.col("blocks")).cast("int"))
+    inside = written(inside, "placed")
     marks = written(inside.select(F.col("mark").alias("m")).distinct(), "marks")
     texts = docs.join(_small(marks), F.col("mark") == F.col("m"), "left_semi")
-    members = inside.select("digest", "group").distinct().join(_whole_sets(texts, k), "digest")
-    links = components(_links(units, members, threshold))
+    members = _whole_sets(texts, k).join(_small(inside), "digest")
+    links = components(_links(members, threshold))
     # Components by the least key; only classes that are copied or linked differ from their own key.
     of = classes.join(links, classes["digest"] == links["node"], "left").withColumn("r", F.coalesce("root", "digest"))
     roots = links.select(F.col("root").alias("q")).distinct()

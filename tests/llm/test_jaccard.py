@@ -63,6 +63,8 @@ def near_copies(seed, n=400):
 def test_equals_brute_force(spark, monkeypatch, k, threshold, seed):
     monkeypatch.setattr(jaccard, "FREQUENT", 10)
     monkeypatch.setattr(jaccard, "GROUP_ROWS", 4)
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    monkeypatch.setattr(jaccard, "UNIT_ROWS", 5)
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(jaccard.join(df, k=k, threshold=threshold)) == brute(rows, k, threshold)
