@@ -5,7 +5,9 @@ Every source gets a target number of words: its share by weight of all words, he
 cap. A source whose target is ``f`` times its words takes ``floor(f)`` certain whole copies of
 every document. What is left is drawn by Pareto order sampling: a document with inclusion
 probability ``p`` and a fixed uniform number ``u`` is ranked by ``(u/(1-u)) / (p/(1-p))``, and the
-documents of lowest rank are taken up to the words still missing.
+documents of lowest rank are taken up to the words still missing. The order stops before the first
+document that doesn't fit; one more document, of those left the one whose size is nearest to the
+gap, is taken where that brings the sum closer.
 
 Scale: the text is read once, to count words; the small table of sizes is written to the shared
 folder. The cut is found without sorting a source in one task: ranks fall into ``bins`` bins of
@@ -15,8 +17,7 @@ The only unpartitioned windows are over one row per source.
 
 Defined results: null and empty texts have size 0, are never needed to meet a target and take no
 words; a null source is a source of its own, placed last. Repeated rows are separate documents;
-rows equal in key and size that tie at the cut are separated by nothing but their row number, so
-which of them is taken has no effect on the result as a whole. An empty table gives an empty one.
+rows equal in key and size tie, so both may be taken to fill the last gap. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -115,19 +116,25 @@ def mix(
     inside = Window.partitionBy("source", "bin", "ends").orderBy("rank", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     cut = placed.where(ends).withColumn("ends", F.lit(True))
     cut = cut.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    # A document is taken if at least half of it is still missing: the sum ends within half a document of the target.
-    taken = F.col("before") + F.col("size") / F.lit(2.0) <= F.col("missing")
-    cut = cut.withColumn("extra", taken.cast("long")).drop("ends")
+    cut = cut.withColumn("extra", (F.col("before") + F.col("size") <= F.col("missing")).cast("long")).drop("ends")
     other = placed.where(~ends).withColumn("extra", (F.col("before") < F.col("missing")).cast("long"))
-    both = other.unionByName(cut)
-    return both.select(
-        F.col("key").alias(key),
-        F.col("source").alias(source),
-        "size",
-        "source_size",
-        "target",
-        F.least(F.col("whole").cast("long") + F.col("extra"), F.lit(cap)).cast("long").alias("copies"),
-    )
+    drawn = written(other.unionByName(cut).select("key", "source", "size", "source_size", "target", "whole", "missing", "rank", "extra"), "drawn")
+    # The order stops before the first document that doesn't fit; the gap goes to the one that fills it best.
+    gaps = drawn.groupBy("source").agg(F.first("missing").alias("m"), F.sum(F.col("size") * F.col("extra")).alias("got"))
+    gaps = gaps.select(F.col("source").alias("s"), (F.col("m") - F.coalesce("got", F.lit(0))).alias("gap"))
+    off = F.abs(F.col("size") - F.col("gap"))
+    open_ = drawn.where((F.col("extra") == 0) & (F.col("size") > 0)).join(F.broadcast(gaps) if _few(gaps) else gaps, F.col("source").eqNullSafe(F.col("s")))
+    best = open_.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank", "key", "size")).alias("b"))
+    best = best.select(F.col("source").alias("s"), F.col("b.rank").alias("r"), F.col("b.key").alias("k"), F.col("b.size").alias("z"))
+    fills = F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("size") == F.col("z"))
+    both = drawn.join(best, fills, "left")
+    copies = F.col("whole").cast("long") + F.col("extra") + (F.col("z").isNotNull() & (F.col("extra") == 0)).cast("long")
+    return both.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.least(copies, F.lit(cap)).cast("long").alias("copies"))
+
+
+def _few(sources: DataFrame) -> bool:
+    """Whether one row for each source is small enough to broadcast."""
+    return sources.count() <= 100_000
 
 
 def repeat(docs: DataFrame, key: str = "doc_id", **params) -> DataFrame:

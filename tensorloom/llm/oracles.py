@@ -73,15 +73,24 @@ WITH d AS (
 ), p AS (
   SELECT *, floor(factor) AS whole, target - floor(factor) * source_size AS missing, factor - floor(factor) AS open FROM h
 ), q AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.missing,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY CASE WHEN p.open > 0 THEN (u / (1 - u)) / (p.open / (1 - p.open)) ELSE 1.0 END, d.doc_id, d.size
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.whole, p.missing,
+    CASE WHEN p.open > 0 THEN (u / (1 - u)) / (p.open / (1 - p.open)) END AS o
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), t AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY coalesce(o / (1 + o), 1.0), doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q
+), x AS (
+  SELECT *, before < missing AND before + size <= missing AS extra FROM t
+), y AS (
+  SELECT *, missing - coalesce(sum(CASE WHEN extra THEN size END) OVER (PARTITION BY source), 0) AS gap FROM x
+), z AS (
+  SELECT *, NOT extra AND size > 0 AND abs(size - gap) < gap AS may FROM y
+), v AS (
+  SELECT *, may AND row_number() OVER (PARTITION BY source, may ORDER BY abs(size - gap), coalesce(o / (1 + o), 1.0), doc_id, size) = 1 AS fill FROM z
 )
 SELECT doc_id, size, source_size, target,
-  (size * least(whole + CASE WHEN before < missing AND before + size / 2.0 <= missing THEN 1 ELSE 0 END, 3))::BIGINT AS taken,
-  least(whole + CASE WHEN before < missing AND before + size / 2.0 <= missing THEN 1 ELSE 0 END, 3)::BIGINT AS copies
-FROM q
+  (size * least(whole + extra::INT + fill::INT, 3))::BIGINT AS taken, least(whole + extra::INT + fill::INT, 3)::BIGINT AS copies
+FROM v
 """
 
 
