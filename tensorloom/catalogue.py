@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.plans import library
+from tensorloom.plans import files, library
 
-QUERIES = dict(library.QUERIES)
-ORACLES = dict(library.ORACLES)
+QUERIES = {**library.QUERIES, **files.QUERIES}
+ORACLES = {**library.ORACLES, **files.ORACLES}

@@ -449,7 +449,7 @@ def bench_stats(spark, sf_dir):
     return stats.select("model", "total_bytes", *[F.round(c, 6).alias(c) for c in _STAT_NAMES])
 
 
-_SECONDS = "abs(value) * power(10.0, (event_id % 13) - 8)"
+_SECONDS = "abs(value) * 1e4::DOUBLE / power(10.0::DOUBLE, (event_id % 13)::DOUBLE)"
 
 
 @query(
@@ -458,7 +458,7 @@ _SECONDS = "abs(value) * power(10.0, (event_id % 13) - 8)"
       ELSE printf('%.0fh', floor(s / 3600)) || printf('%.0fm', floor((s % 3600) / 60)) || printf('%.0fs', s % 60) END AS human FROM s"""
 )
 def human_duration(spark, sf_dir):
-    s = F.abs("value") * F.pow(F.lit(10.0), F.col("event_id") % 13 - 8)
+    s = F.abs("value") * 1e4 / F.pow(F.lit(10.0), (F.col("event_id") % 13).cast("double"))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", scalars.human_duration(s).alias("human"))
 
 
