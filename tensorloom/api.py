@@ -71,7 +71,7 @@ def read(spark: SparkSession, path: str, what: str = "chunks", ignore_names=None
     """A container's ``chunks``, ``index``, ``blocks`` or ``meta``; ignored names' bytes are not read."""
     name = "tensorpack" if what == "chunks" else f"tensorpack.{what}"
     df = register(spark).read.format(name).options(path=path, **options).load()
-    return predicates.keep(df, ignore_names, ignore_prefixes, ignore_suffixes) if what in ("chunks", "index") else df
+    return predicates.keep(df, ignore_names, ignore_prefixes, ignore_suffixes, nulls=False) if what in ("chunks", "index") else df
 
 
 def tensors(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql.datasource import (
     EqualTo,
     In,
     InputPartition,
+    IsNotNull,
     Not,
     StringContains,
     StringEndsWith,
@@ -90,7 +91,7 @@ class _Reader(DataSourceReader):
         """Take over tests of name and macroblock; the others stay in the plan."""
         for f in filters:
             inner = f.child if isinstance(f, Not) else f
-            known = isinstance(inner, (EqualTo, In, StringStartsWith, StringEndsWith, StringContains)) and inner.attribute in (("name",), ("macroblock",))
+            known = isinstance(inner, (EqualTo, In, IsNotNull, StringStartsWith, StringEndsWith, StringContains)) and inner.attribute in (("name",), ("macroblock",))
             if known:
                 self.tests.append(f)
             else:
@@ -101,6 +102,8 @@ class _Reader(DataSourceReader):
             if isinstance(f, Not):
                 return not holds(f.child)
             x = getattr(e, f.attribute[0])
+            if isinstance(f, IsNotNull):
+                return x is not None
             if isinstance(f, EqualTo):
                 return x == f.value
             if isinstance(f, In):
@@ -263,6 +266,8 @@ class PackWriter(DataSourceWriter):
         with system.open_output_stream(part) as out:
             for row in iterator:
                 raw = bytes(row["payload"])
+                if not raw:
+                    continue  # an empty tensor has a place but no bytes
                 out.write(raw)
                 pieces.append((row["start_byte"], at, len(raw)))
                 at += len(raw)
