@@ -47,3 +47,13 @@ def family(config: DataFrame) -> DataFrame:
     first, second = F.col("transformers_version").isNotNull(), F.col("_diffusers_version").isNotNull()
     kind = F.when(first & ~second, "transformers").when(second & ~first, "diffusers").when(first & second, "ambiguous").otherwise("unknown")
     return config.withColumn("family", kind)
+
+
+def picked(options: Column, keys: Sequence[str]) -> Column:
+    """An option map with the listed keys only (what a function's signature takes)."""
+    return F.map_filter(options, lambda k, _: k.isin(*keys)) if keys else F.map_filter(options, lambda k, _: F.lit(False))
+
+
+def dropped(options: Column, keys: Sequence[str]) -> Column:
+    """An option map without the listed keys."""
+    return F.map_filter(options, lambda k, _: ~k.isin(*keys)) if keys else options

@@ -267,9 +267,10 @@ def _status(spark, sf_dir):
     return reconcile.reconcile(stored, adapters.expected(spark, sf_dir), ignore_prefixes=["emb."], ignore_suffixes=[".html"])
 
 
-@query(f"WITH {_EXPECTED_SQL} SELECT * FROM status")
+@query(f"WITH {_EXPECTED_SQL} SELECT * REPLACE (coalesce(stored_length, -1) AS stored_length) FROM status")
 def reconcile_status(spark, sf_dir):
-    return _status(spark, sf_dir)
+    """A missing name has the length -1 here."""
+    return _status(spark, sf_dir).withColumn("stored_length", F.coalesce("stored_length", F.lit(-1).cast("bigint")))
 
 
 @query(f"WITH {_EXPECTED_SQL} SELECT e.name, e.kind FROM expected e ANTI JOIN stored s ON s.name = e.name")
@@ -472,3 +473,16 @@ def human_elements(spark, sf_dir):
 def bool_or_flag(spark, sf_dir):
     t = layout.sized(adapters.tensors(spark, sf_dir))
     return t.groupBy("dtype").agg(F.bool_or(F.col("name").startswith("event.")).alias("any_event"), F.sum(F.col("numel") * element_size(F.col("dtype"))).alias("bytes"))
+
+
+@query(
+    """SELECT event_id, 'k=' || json_extract_string(props, '$.k') AS picked, 'kind=' || event_type || CASE WHEN event_id % 2 = 0 THEN ',user=' || user_id ELSE '' END AS dropped FROM events"""
+)
+def option_projection(spark, sf_dir):
+    """Option maps made of an event's properties, type and user: some keys picked, some dropped."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    own = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("kind"), F.col("event_type")))
+    user = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("user"), F.col("user_id").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    options = events.select("event_id", F.map_concat(own, user).alias("o"))
+    return options.select("event_id", text(manifest.picked(F.col("o"), ["k", "absent"])).alias("picked"), text(manifest.dropped(F.col("o"), ["k", "absent"])).alias("dropped"))
