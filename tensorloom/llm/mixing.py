@@ -5,12 +5,12 @@ Every source gets a target number of words: its share by weight of all words, he
 cap. A source whose target is ``f`` times its words takes ``floor(f)`` certain whole copies of
 every document. What is left is drawn by Pareto order sampling: a document with inclusion
 probability ``p`` and a fixed uniform number ``u`` is ranked by ``(u/(1-u)) / (p/(1-p))``, and the
-documents of lowest rank are taken up to the words still missing. The order stops before the first
-document that doesn't fit; one more document, of those left the one whose size is nearest to the
-gap, is taken where that brings the sum closer.
+documents of lowest rank are taken up to the words still missing. Near the cut, documents that are
+larger than the gap are passed over; one more document, of those left the one whose size is nearest
+to the last gap, is taken where that brings the sum closer.
 
 Scale: the text is read once, to count words; the small table of sizes is written to the shared
-folder. The cut is found without sorting a source in one task: ranks fall into ``bins`` bins of
+folder. The cut is found without sorting a source in one task: ranks fall into ``BINS`` bins of
 nearly equal probability, the bins' words are summed (partial sums first), and only the documents
 inside one bin are put in order. A source that holds a third of all rows is spread over its bins.
 The only unpartitioned windows are over one row per source.
@@ -32,8 +32,10 @@ from tensorloom.llm.words import n_words
 WEIGHTS = (5, 2, 1)
 #: No source may be taken more than so many times.
 CAP = 3
-#: Bins of the rank by which the cut is found.
-BINS = 4096
+#: Bins of the rank by which the cut is found, at most, and the documents for which there is one.
+BINS, BIN_ROWS = 4096, 1024
+#: Passes over the bin of the cut; each skips documents larger than the gap that the last one left.
+SWEEPS = 4
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -76,7 +78,6 @@ def mix(
     utility: Column | None = None,
     weights: tuple = WEIGHTS,
     cap: int = CAP,
-    bins: int = BINS,
     seed: str = "mix-1",
 ) -> DataFrame:
     """Key, source, size, source_size, target, copies: one row per row of ``docs``.
@@ -95,6 +96,7 @@ def mix(
         ),
         "sizes",
     )
+    bins = max(1, min(BINS, sizes.count() // BIN_ROWS))
     goals = targets(sizes, weights, cap).withColumn("factor", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     goals = goals.withColumn("whole", F.floor("factor")).withColumn("open", F.col("factor") - F.col("whole"))
     goals = goals.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -113,13 +115,18 @@ def mix(
     placed = ranked.join(sums, ranked["source"].eqNullSafe(sums["s"]) & (ranked["bin"] == sums["b"])).drop("s", "b")
     # Only the bin in which a source's missing words end has its documents put in order.
     ends = (F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") > F.col("missing"))
-    inside = Window.partitionBy("source", "bin", "ends").orderBy("rank", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = placed.where(ends).withColumn("ends", F.lit(True))
-    cut = cut.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    cut = cut.withColumn("extra", (F.col("before") + F.col("size") <= F.col("missing")).cast("long")).drop("ends")
+    cut = placed.where(ends).withColumn("extra", F.lit(0).cast("long"))
+    own = Window.partitionBy("source")  # of one bin each
+    earlier = own.orderBy("rank", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(SWEEPS):
+        cut = cut.withColumn("gap", F.col("missing") - F.col("before") - F.sum(F.col("size") * F.col("extra")).over(own))
+        cut = cut.withColumn("fit", F.when((F.col("extra") == 0) & (F.col("size") <= F.col("gap")), F.col("size")))
+        cut = cut.withColumn("sum", F.coalesce(F.sum("fit").over(earlier), F.lit(0)))
+        cut = cut.withColumn("extra", F.when(F.col("fit").isNotNull() & (F.col("sum") + F.col("size") <= F.col("gap")), 1).otherwise(F.col("extra")).cast("long"))
+    cut = cut.drop("gap", "fit", "sum")
     other = placed.where(~ends).withColumn("extra", (F.col("before") < F.col("missing")).cast("long"))
     drawn = written(other.unionByName(cut).select("key", "source", "size", "source_size", "target", "whole", "missing", "rank", "extra"), "drawn")
-    # The order stops before the first document that doesn't fit; the gap goes to the one that fills it best.
+    # What is still missing goes to the one document that fills it best.
     gaps = drawn.groupBy("source").agg(F.first("missing").alias("m"), F.sum(F.col("size") * F.col("extra")).alias("got"))
     gaps = gaps.select(F.col("source").alias("s"), (F.col("m") - F.coalesce("got", F.lit(0))).alias("gap"))
     off = F.abs(F.col("size") - F.col("gap"))

@@ -76,25 +76,46 @@ WITH d AS (
   SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.whole, p.missing,
     CASE WHEN p.open > 0 THEN (u / (1 - u)) / (p.open / (1 - p.open)) END AS o
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), n AS (
+  SELECT greatest(1, least(4096, count(*) // 1024)) AS bins FROM d
+), w AS (
+  SELECT q.*, coalesce(o / (1 + o), 1.0) AS rank FROM q
 ), t AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY coalesce(o / (1 + o), 1.0), doc_id, size
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q
-), x AS (
-  SELECT *, before < missing AND before + size <= missing AS extra FROM t
-), y AS (
-  SELECT *, missing - coalesce(sum(CASE WHEN extra THEN size END) OVER (PARTITION BY source), 0) AS gap FROM x
+  SELECT w.*, least(floor(rank * bins), bins - 1) AS bin FROM w, n
+), b AS (
+  SELECT source, bin, sum(size) AS words, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM t GROUP BY source, bin
+), p0 AS (
+  SELECT t.*, b.before, b.before < missing AND b.before + b.words > missing AS ends,
+    CASE WHEN b.before < missing AND NOT (b.before + b.words > missing) THEN 1 ELSE 0 END AS extra, 0.0 AS g, 0 AS s
+  FROM t JOIN b ON t.source IS NOT DISTINCT FROM b.source AND t.bin = b.bin
+), @SWEEPS@, y AS (
+  SELECT *, missing - coalesce(sum(size * extra) OVER (PARTITION BY source), 0) AS gap FROM p4
 ), z AS (
-  SELECT *, NOT extra AND size > 0 AND abs(size - gap) < gap AS may FROM y
+  SELECT *, extra = 0 AND size > 0 AND abs(size - gap) < gap AS may FROM y
 ), v AS (
-  SELECT *, may AND row_number() OVER (PARTITION BY source, may ORDER BY abs(size - gap), coalesce(o / (1 + o), 1.0), doc_id, size) = 1 AS fill FROM z
+  SELECT *, may AND row_number() OVER (PARTITION BY source, may ORDER BY abs(size - gap), rank, doc_id, size) = 1 AS fill FROM z
 )
 SELECT doc_id, size, source_size, target,
-  (size * least(whole + extra::INT + fill::INT, 3))::BIGINT AS taken, least(whole + extra::INT + fill::INT, 3)::BIGINT AS copies
+  (size * least(whole + extra + fill::INT, 3))::BIGINT AS taken, least(whole + extra + fill::INT, 3)::BIGINT AS copies
 FROM v
 """
 
 
 
+def _sweep(i: int) -> str:
+    fit = "(extra = 0 AND ends AND size <= g)"
+    return f"""p{i} AS (
+  SELECT * REPLACE (CASE WHEN {fit} AND s + size <= g THEN 1 ELSE extra END AS extra) FROM (
+    SELECT *, coalesce(sum(CASE WHEN {fit} THEN size END) OVER (PARTITION BY source, ends ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+    FROM (SELECT * EXCLUDE (g, s), missing - before - sum(size * extra) OVER (PARTITION BY source, ends) AS g FROM p{i - 1})
+  )
+)"""
+
+
+MIXING = MIXING.replace("@SWEEPS@", ", ".join(_sweep(i) for i in (1, 2, 3, 4)))
+
+
 def _places(kind: str, rank: int, pattern: str, good: str) -> str:
     """Rows (r, rank, kind, start, stop, m) of a pattern's matches for which ``good`` holds of m."""
     return f"""
