@@ -40,8 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-pair ids of every text, with the check that they decode to it."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    both = bpe.decode(coded)
+    both = bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded="decoded")
     intact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return both.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "ids", intact.alias("intact"))
 

@@ -9,7 +9,7 @@ minimum, leftmost first, in n log n.
 
 Both directions run as Arrow batches (:func:`encode`, :func:`decode`); the vocabulary is read once
 per Python worker from a path that every executor has. Each worker remembers up to ``MEMORY``
-words and starts afresh when it holds more, so memory stays bounded. No shuffle: rows are
+words, so memory stays bounded. No shuffle: rows are
 independent.
 
 Ids are carried as little-endian unsigned 32-bit numbers in one binary value per text
@@ -34,7 +34,7 @@ from tensorloom.llm.scratch import for_workers
 #: Longest word in bytes that is merged by scanning.
 LONG = 64
 #: Words remembered by one worker.
-MEMORY = 400_000
+MEMORY = 240_000
 #: The byte-level pattern (fixed value of the vocabulary's pre-tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -55,16 +55,22 @@ def byte_letters() -> list[str]:
 
 
 class Words(dict):
-    """Word to packed ids; a word that is missing is encoded and kept."""
+    """Word to packed ids; a word that is missing is encoded and kept.
+
+    Two generations of ``MEMORY / 2`` words: a full one becomes the old one, and words that are met
+    again move to the new one, so frequent words stay while memory is bounded.
+    """
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
+        if len(self) >= MEMORY // 2:
+            self.old = dict(self)
             self.clear()
-        got = self[word] = self.codec.word(word.encode())
+        got = self.old.get(word)
+        got = self[word] = self.codec.word(word.encode()) if got is None else got
         return got
 
 
@@ -166,34 +172,42 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.DataType, one) -> DataFrame:
-    """``df`` with ``out`` added: ``one(value)`` of each value of ``column``, by Arrow batches."""
-    schema = T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, kind)])
+def _mapped(df: DataFrame, column: str, made: list[tuple[str, T.DataType, pa.DataType]], one) -> DataFrame:
+    """``df`` with the columns ``made`` added: ``one(value)`` of each value of ``column``, by Arrow batches."""
+    for_workers(df.sparkSession)
+    new = [m[0] for m in made]
+    schema = T.StructType([*[f for f in df.schema.fields if f.name not in new], *[T.StructField(n, kind) for n, kind, _ in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # A few rows at a time: what is made is held in pieces that follow the texts' length.
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = pa.array([one(x) for x in part.column(part.schema.get_field_index(column)).to_pylist()], arrow)
-                names = [n for n in part.schema.names if n != out]
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in names], made], names=[*names, out])
+                values = [one(x) for x in part.column(part.schema.get_field_index(column)).to_pylist()]
+                names = [n for n in part.schema.names if n not in new]
+                arrays = [pa.array([v[i] for v in values], arrow) for i, (_, _, arrow) in enumerate(made)]
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in names], *arrays], names=[*names, *new])
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
-    """``df`` with the ids of ``text`` in the binary column ``out``."""
+def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, decoded: str | None = None) -> DataFrame:
+    """``df`` with the ids of ``text`` in the binary column ``out``.
+
+    ``decoded`` names a column for the text that the ids decode to, made in the same pass.
+    """
     path = path or public_vocabulary()
-    for_workers(df.sparkSession)
-    return _mapped(df, text, out, T.BinaryType(), pa.binary(), lambda x: codec(path).encode(x or ""))
+    ids = (out, T.BinaryType(), pa.binary())
+    if decoded is None:
+        return _mapped(df, text, [ids], lambda x: (codec(path).encode(x or ""),))
+    both = lambda x: ((raw := codec(path).encode(x or "")), codec(path).decode(raw))
+    return _mapped(df, text, [ids, (decoded, T.StringType(), pa.string())], both)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with the text of the binary column ``ids`` in the string column ``out``."""
     path = path or public_vocabulary()
-    for_workers(df.sparkSession)
-    return _mapped(df, ids, out, T.StringType(), pa.string(), lambda x: codec(path).decode(x or b""))
+    return _mapped(df, ids, [(out, T.StringType(), pa.string())], lambda x: (codec(path).decode(x or b""),))
 
 
 def n_tokens(ids: str = "ids") -> Column:

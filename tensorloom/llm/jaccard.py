@@ -65,7 +65,7 @@ UNIT_ROWS = 1024
 #: Rows (under 40 bytes each) of a side that is broadcast at most.
 BROADCAST_ROWS = 500_000
 #: Words whose hash a worker remembers.
-MEMORY = 400_000
+MEMORY = 60_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

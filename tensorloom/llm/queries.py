@@ -66,8 +66,7 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of its ids and of the text they decode to."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs).select("doc_id", "ids")
-    both = bpe.decode(ids)
+    both = bpe.encode(docs, decoded="decoded")
     return both.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -37,7 +37,7 @@ def blank(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def for_workers(spark: SparkSession, most_bytes: int = 32 << 20) -> None:
+def for_workers(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
     """Make Python workers ready: the package within reach, batches held to so many bytes.
 
     Without a bound in bytes a batch is bounded by rows alone, and grows with the texts' length.
