@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions import codecs, predicates
@@ -38,8 +38,8 @@ def pack(
     spark = register(tensors.sparkSession)
     rows = predicates.keep(tensors, ignore_names, ignore_prefixes, ignore_suffixes)
     rows = rows if "ord" in rows.columns else rows.withColumn("ord", F.col("name"))
-    rows = rows if "chunk_idx" in rows.columns else rows.withColumn("chunk_idx", F.lit(0).cast("bigint"))
-    heads = rows.where(F.col("chunk_idx") == 0).select(F.lit("").alias("path"), "name", "dtype", "shape", "ord")
+    chunked = "chunk_idx" in rows.columns
+    heads = (rows.where(F.col("chunk_idx") == 0) if chunked else rows).select(F.lit("").alias("path"), "name", "dtype", "shape", "ord")
     index = layout.index(heads, align_bytes, target_dtype, name_order)
     blocks = layout.blocks(index, align_bytes)
     found = blocks.orderBy("macroblock").collect()
@@ -53,15 +53,15 @@ def pack(
     footer = container.footer_json(planned, entries, align_bytes, signature)
     wanted = F.col("dtype") if target_dtype is None else F.lit(dtype(target_dtype).name)
     cast = rows.withColumn("payload", codecs.cast_payload(F.col("payload"), F.col("dtype"), wanted)) if target_dtype is not None else rows
-    size_of = F.octet_length("payload").cast("bigint")
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("name").orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cast.select("name", "chunk_idx", size_of.alias("n")).withColumn("in_tensor", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    places = layout.located(index, blocks).select(F.col("name"), "start_byte")
-    starts = sizes.join(places, "name").select("name", "chunk_idx", (F.col("start_byte") + F.col("in_tensor")).alias("start_byte"))
     # Every place of a duplicated name is written.
-    pieces = cast.select("name", "chunk_idx", "payload").join(starts, ["name", "chunk_idx"]).select("start_byte", "payload")
+    places = layout.located(index, blocks).select("name", "start_byte")
+    if chunked:
+        before = Window.partitionBy("name").orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
+        within = cast.select("name", "chunk_idx", F.coalesce(F.sum(F.octet_length("payload").cast("bigint")).over(before), F.lit(0)).alias("within"))
+        starts = within.join(places, "name").select("name", "chunk_idx", (F.col("start_byte") + F.col("within")).alias("start_byte"))
+        pieces = cast.select("name", "chunk_idx", "payload").join(starts, ["name", "chunk_idx"]).select("start_byte", "payload")
+    else:
+        pieces = cast.select("name", "payload").join(places, "name").select("start_byte", "payload")
     options = {"path": destination, "footer": container.trailer(footer, signature).hex(), "payload_bytes": str(size)}
     pieces.write.format("tensorpack").mode("append").options(**options).save()
     return container.read_footer(destination, signature)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tensorloom import api
 from tensorloom.functions import codecs
 from tensorloom.functions.dtypes import DTYPES
-from tensorloom.shipping import ship
+from tensorloom.shipping import shared_dir, ship
 from tensorloom.sources import container
 
 QUERIES: dict = {}
@@ -33,8 +33,7 @@ def folder(spark: SparkSession) -> str:
     """A new folder below the shared one."""
     from pyarrow import fs
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/packs-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/packs-{uuid.uuid4().hex}"
     path = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
     system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     system.create_dir(inner, recursive=True)

@@ -1,9 +1,11 @@
-"""Makes the package importable by Python workers that don't have it on their path."""
+"""What a session needs around the queries: the package on its workers, and a shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -31,3 +33,20 @@ def ship(spark: SparkSession) -> None:
     archive.write_bytes(packed.getvalue())
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, without a trailing slash.
+
+    Only where the session names none (tests, notebooks on one machine) it is a folder of this
+    process below the warehouse, removed at its end.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{os.getpid()}"
+    local = own.removeprefix("file://") if own.startswith("file:///") else own.removeprefix("file:")
+    if own not in _shipped and "://" not in local:
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        _shipped.add(own)
+    return own
