@@ -38,6 +38,10 @@ BINS, BIN_ROWS = 4096, 1024
 SWEEPS = 4
 
 
+#: Keys with their copies that are broadcast at most (16 bytes each); beyond, texts are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number inside (0, 1) fixed by the key: 52 bits of an MD5 digest, plus half a step."""
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
@@ -151,6 +155,7 @@ def repeat(docs: DataFrame, key: str = "doc_id", **params) -> DataFrame:
     unique, and rows of a repeated key are taken as often as the least taken of them.
     """
     taken = mix(docs, key=key, **params).groupBy(key).agg(F.min("copies").alias("__copies"))
-    taken = taken.where(F.col("__copies") > 0).withColumnRenamed(key, "__key")
+    taken = written(taken.where(F.col("__copies") > 0).withColumnRenamed(key, "__key"), "taken")
+    taken = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
     kept = docs.join(taken, docs[key].eqNullSafe(taken["__key"]), "inner")
     return kept.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
