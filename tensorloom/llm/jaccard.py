@@ -28,8 +28,8 @@ Scale: the text is scanned twice (order, matrix) without a shuffle; what is shuf
 of the tokens, as fixed-width rows, and the sets of documents that have a candidate. Broadcasts are
 of counted size: the frequent tokens (``MOST_FREQUENT`` at most; the frequency that counts as
 frequent rises until they fit) and lists of copies, groups and candidates up to ``BROADCAST_ROWS``
-rows, beyond which they are joined by shuffles. A cluster of more than ``UNIT_ROWS`` classes is cut
-into blocks and compared by pairs of blocks, each a task of bounded memory.
+rows, beyond which they are joined by shuffles. A cluster of more than ``UNIT_ROWS`` classes or
+``UNIT_TOKENS`` tokens is cut into blocks and compared by pairs of blocks, each a task of bounded memory.
 
 Defined results: a text with fewer than ``k`` words is one shingle, its whole sequence of words. A
 null text or one without words has an empty set, links with nothing and is its own component.
@@ -62,6 +62,8 @@ MOST_FREQUENT = 1_000_000
 GROUP_ROWS = 256
 #: Classes in one block of a cluster, about; a task compares two blocks at most.
 UNIT_ROWS = 1024
+#: Tokens (8 bytes each) of a block, about, where its sets are long.
+UNIT_TOKENS = 1_000_000
 #: Rows (under 40 bytes each) of a side that is broadcast at most.
 BROADCAST_ROWS = 500_000
 #: Words whose hash a worker remembers.
@@ -288,7 +290,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, t
     sizes = written(nodes.groupBy("least").agg(F.count("*").alias("size")).where(F.col("size") > 1).withColumnRenamed("least", "l"), "sizes")
     chunk = F.pmod(F.xxhash64("digest"), F.ceil(F.col("size") / F.lit(GROUP_ROWS)))
     group = F.when(F.col("size").isNull(), F.xxhash64("least")).otherwise(F.xxhash64("least", chunk))
-    nodes = nodes.join(_small(sizes), F.col("least") == F.col("l"), "left").select("digest", "mark", group.alias("group"), F.col("size").isNotNull().alias("many"), "shared", "tokens")
+    nodes = nodes.join(_small(sizes), F.col("least") == F.col("l"), "left")
+    nodes = nodes.select("digest", "mark", "n", group.alias("group"), F.col("size").isNotNull().alias("many"), "shared", "tokens")
     # 3. The matrix: one row per token and group.
     cells = nodes.select(F.explode("tokens").alias("token"), "group", "shared", "many")
     matrix = cells.where(~F.col("many")).select("token", "group", "shared")
@@ -306,9 +309,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, t
     many = nodes.where("many").groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1).select(F.col("group").alias("o"))
     opened = _clustered(pairs.select(F.explode(F.array("a", "b")).alias("o")).unionByName(many).distinct(), pairs, 0)
     opened = opened.unionByName(_clustered(hot.select(F.explode(F.array("a", "b")).alias("o")).distinct(), hot, 1))
-    inside = nodes.select("digest", "mark", "group").join(_small(written(opened, "opened")), F.col("group") == F.col("o")).drop("o").distinct()
+    inside = nodes.select("digest", "mark", "n", "group").join(_small(written(opened, "opened")), F.col("group") == F.col("o")).drop("o").distinct()
     inside = written(inside, "inside")
-    blocks = inside.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(UNIT_ROWS)).cast("int").alias("blocks"))
+    by_rows, by_tokens = F.ceil(F.count("*") / F.lit(UNIT_ROWS)), F.ceil(F.sum("n") / F.lit(UNIT_TOKENS))
+    blocks = inside.groupBy("cluster").agg(F.greatest(by_rows, by_tokens).cast("int").alias("blocks"))
     inside = inside.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("group", F.when(F.col("blocks") > 1, F.col("digest"))), F.col("blocks")).cast("int"))
     inside = written(inside, "placed")
     marks = written(inside.select(F.col("mark").alias("m")).distinct(), "marks")

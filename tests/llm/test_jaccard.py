@@ -81,6 +81,7 @@ def test_edges(spark):
 
 def test_small_broadcasts_are_not_needed(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(jaccard, "UNIT_TOKENS", 100)
     monkeypatch.setattr(jaccard, "MOST_FREQUENT", 20)
     monkeypatch.setattr(jaccard, "FREQUENT", 5)
     rows = near_copies(9, 160)
