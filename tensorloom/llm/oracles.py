@@ -197,4 +197,56 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = d.doc_id
 """
 
-SQL: dict[str, str] = {"op1_pii": PII, "op5_top_k": TOP_K, "op6_secrets": SECRETS, "op7_jaccard": JACCARD, "op9_quality": QUALITY, "op10_mixing": MIXING}
+
+def _licenses() -> str:
+    from collections import Counter
+
+    from tensorloom.llm.licenses import STOP, TEMPLATES, THRESHOLD, WIDE, tokens
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    bag = ", ".join(f"({i}, {quoted(name)}, {quoted(w)}, {n})" for i, (name, text) in enumerate(TEMPLATES) for w, n in Counter(tokens(text)).items())
+    words = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
+    kept = lambda x: f"list_filter({words(x)}, lambda w: NOT list_contains([{', '.join(map(quoted, sorted(STOP)))}], w))"
+    return f"""
+WITH t(i, name, word, n) AS (VALUES {bag}), d AS (
+  SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') AS dir, coalesce(text, '') AS x FROM documents
+), c AS (
+  SELECT count(*) AS docs, ln(count(*) + 1) + 1 AS unseen FROM d
+), f AS (
+  SELECT word, ln((c.docs + 1)::DOUBLE / (count(h.doc_id) + 1)) + 1 AS idf
+  FROM (SELECT DISTINCT word FROM t) LEFT JOIN (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest({words("x")}) AS word FROM d)) h USING (word), c
+  GROUP BY word, c.docs
+), tw AS (
+  SELECT i, name, word, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY i)) AS weight FROM t JOIN f USING (word)
+), lines AS (
+  SELECT doc_id, l, {kept("line")} AS k FROM (
+    SELECT doc_id, unnest(range(1, len(ls) + 1)) AS l, unnest(ls) AS line FROM (SELECT doc_id, string_split(x, chr(10)) AS ls FROM d))
+), units AS (
+  SELECT doc_id, l, a, k[a + 1:a + {WIDE}] AS k FROM (SELECT doc_id, l, k, unnest(range(0, greatest(1, len(k) - {WIDE // 2}), {WIDE // 2})) AS a FROM lines)
+  UNION ALL SELECT doc_id, 0, 0, {kept("x")} FROM d
+), bag AS (
+  SELECT doc_id, l, a, word, count(*) AS n FROM (SELECT doc_id, l, a, unnest(k) AS word FROM units) GROUP BY doc_id, l, a, word
+), norms AS (
+  SELECT doc_id, l, a, sqrt(sum((n * coalesce(idf, c.unseen)) * (n * coalesce(idf, c.unseen)))) AS norm FROM bag LEFT JOIN f USING (word), c GROUP BY doc_id, l, a
+), cosines AS (
+  SELECT b.doc_id, b.l, b.a, tw.name, round(sum(b.n * f.idf * tw.weight) / any_value(m.norm), 9) AS cosine
+  FROM bag b JOIN f ON f.word = b.word JOIN tw ON tw.word = b.word JOIN norms m ON m.doc_id = b.doc_id AND m.l = b.l AND m.a = b.a
+  GROUP BY b.doc_id, b.l, b.a, tw.i, tw.name
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, l, a ORDER BY cosine DESC, name) AS nth FROM cosines) WHERE nth = 1
+), own AS (
+  SELECT doc_id, name, cosine, n FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, name) AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM best WHERE l > 0 AND cosine >= {THRESHOLD}) WHERE place = 1
+), givers AS (
+  SELECT dir, name FROM (
+    SELECT d.dir, o.name, row_number() OVER (PARTITION BY d.dir ORDER BY o.cosine DESC, d.dir || '/' || d.doc_id || '.txt') AS place
+    FROM own o JOIN d ON d.doc_id = o.doc_id JOIN best b ON b.doc_id = o.doc_id AND b.l = 0 WHERE b.cosine >= {THRESHOLD}) WHERE place = 1
+)
+SELECT d.doc_id, d.dir || '/' || d.doc_id || '.txt' AS path, coalesce(o.name, g.name) AS license, coalesce(o.cosine, 0.0) AS score,
+       CASE WHEN o.name IS NOT NULL THEN 'own' WHEN g.name IS NOT NULL THEN 'inherited' END AS origin, coalesce(o.n, 0)::BIGINT AS notices,
+       CASE WHEN o.name IS NULL AND g.name IS NOT NULL THEN g.dir END AS from_dir
+FROM d LEFT JOIN own o ON o.doc_id = d.doc_id LEFT JOIN givers g ON g.dir = d.dir
+"""
+
+
+SQL: dict[str, str] = {"op1_pii": PII, "op3_licenses": _licenses(), "op5_top_k": TOP_K, "op6_secrets": SECRETS, "op7_jaccard": JACCARD, "op9_quality": QUALITY, "op10_mixing": MIXING}

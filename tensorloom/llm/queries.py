@@ -36,7 +36,8 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license of every document, with ``source/lang/doc_id.txt`` as its path."""
     docs = _table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), keys=("doc_id",))
+    found = licenses.scan(docs.select("doc_id", path.alias("path"), "text"), keys=("doc_id",))
+    return found.withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
