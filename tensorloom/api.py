@@ -40,7 +40,16 @@ def pack(
     rows = rows if "ord" in rows.columns else rows.withColumn("ord", F.col("name"))
     chunked = "chunk_idx" in rows.columns
     heads = (rows.where(F.col("chunk_idx") == 0) if chunked else rows).select(F.lit("").alias("path"), "name", "dtype", "shape", "ord")
-    index = layout.index(heads, align_bytes, target_dtype, name_order)
+    # Index rows serve the block table, the footer and the places; they are small and planned once.
+    index = layout.index(heads, align_bytes, target_dtype, name_order).persist()
+    try:
+        return _write(spark, rows, index, chunked, destination, target_dtype, align_bytes, signature)
+    finally:
+        index.unpersist()
+
+
+def _write(spark, rows: DataFrame, index: DataFrame, chunked: bool, destination: str, target_dtype: str | None, align_bytes: int, signature: Signature) -> container.Footer:
+    """Place and write the payloads of a planned index."""
     blocks = layout.blocks(index, align_bytes)
     found = blocks.orderBy("macroblock").collect()
     if not found:
