@@ -2,7 +2,8 @@ r"""Personal data: patterns propose spans, checksums confirm them, nearby words
 
 Kinds ``email``, ``ip``, ``card`` and ``phone`` are the base: every match that passes its check
 is a span, whatever its score. ``iban`` and ``ssn`` are added: an IBAN must have its country's
-length and a remainder of 1 by 97, and an added span needs a score of ``LEAST``.
+length and a remainder of 1 by 97, and an added span needs a score of ``LEAST``. Every place where
+an IBAN could start is tried, so what stands before or after an IBAN cannot hide it.
 
 All on DataFrame functions, in one pass over the text without a shuffle. A cheap test (a character
 or a short pattern) goes before each full pattern, so most texts are only looked at once. The
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.scratch import blank
-from tensorloom.llm.spans import bind, masked, matches, nothing
+from tensorloom.llm.spans import AFTER, bind, masked, matches, nothing
 
 SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:int>>"
 #: The score that an added span needs, of 100.
@@ -72,15 +73,23 @@ def _card(m: Column) -> Column:
 
 
 def _iban(m: Column) -> Column:
-    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
-    good = lambda s: F.when(F.length(s) == F.try_element_at(lengths, s.substr(F.lit(1), F.lit(2))), mod97(s) == 1).otherwise(F.lit(False))
-    return bind(F.translate(m, " ", ""), good)
+    return bind(F.translate(m, " ", ""), lambda s: F.when(s == "", F.lit(False)).otherwise(mod97(s) == 1))
+
+
+def _ibans(form: str) -> str:
+    """One alternative for each length of ``IBAN_LENGTHS``; ``form`` has ``{of}`` countries and ``{n}`` characters after the check digits."""
+    by_length = {n: "|".join(sorted(c for c in IBAN_LENGTHS if IBAN_LENGTHS[c] == n)) for n in sorted(set(IBAN_LENGTHS.values()))}
+    return "|".join(form.format(of=of, n=n - 4) for n, of in by_length.items())
+
+
+_REST = r"(?:\x20?[A-Z0-9]){{{n}}}+(?![A-Za-z0-9])"
 
 
 @dataclass(frozen=True)
 class Kind:
     """``hint`` is a cheap test that every text with a match passes; ``start`` is the score of a
-    match that passed ``valid``; ``context`` holds words that raise it when near."""
+    match that passed ``valid``; ``context`` holds words that raise it when near. With ``whole``,
+    ``pattern`` only finds the starts, and ``whole`` is matched from each of them."""
 
     name: str
     pattern: str
@@ -89,6 +98,7 @@ class Kind:
     start: int
     context: str
     base: bool = True
+    whole: str | None = None
 
 
 KINDS = (
@@ -109,8 +119,9 @@ KINDS = (
         lambda t: t.contains("+"), lambda m: F.length(_digits(m)).between(8, 15), 60, "call|phone|mobil|tel",
     ),
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        "iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_ibans('(?:{of})[0-9]{{2}}(?=' + _REST + ')')})",
         lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"), _iban, 80, "iban|account|bank", base=False,
+        whole=rf"^(?:{_ibans('(?:{of})[0-9]{{2}}' + _REST)})",
     ),
     Kind(
         "ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -120,6 +131,27 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
+#: Code points in which a ``whole`` match ends, with the one after it: the longest IBAN with a blank before each character.
+_REACH = 2 * max(IBAN_LENGTHS.values())
+
+
+def _wholes(text: Column, kind: Kind) -> Column:
+    """The matches of a kind; those of ``whole`` may overlap."""
+    found = matches(text, kind.pattern)
+    if kind.whole is None:
+        return found
+
+    def from_start(m: Column) -> Column:
+        def one(w: Column) -> Column:
+            end = m["start"] + F.length(w)
+            after = text.substr(end + 1, F.lit(AFTER))
+            return F.struct(m["start"].alias("start"), end.alias("end"), w.alias("text"), m["before"].alias("before"), after.alias("after"))
+
+        return bind(F.regexp_extract(text.substr(m["start"] + 1, F.lit(_REACH)), kind.whole, 0), one)
+
+    return F.transform(found, from_start)
+
+
 def _spans(text: Column, kind: Kind) -> Column:
     def scored(m: Column) -> Column:
         near = F.lower(F.concat_ws(" ", m["before"], m["after"])).rlike(kind.context)
@@ -128,7 +160,7 @@ def _spans(text: Column, kind: Kind) -> Column:
             (F.lit(kind.start) + F.when(near, F.lit(CONTEXT)).otherwise(F.lit(0))).alias("score"),
         )
 
-    found = F.transform(F.filter(matches(text, kind.pattern), lambda m: kind.valid(m["text"])), scored)
+    found = F.transform(F.filter(_wholes(text, kind), lambda m: kind.valid(m["text"])), scored)
     found = found if kind.base else F.filter(found, lambda s: s["score"] >= LEAST)
     return F.when(kind.hint(text), found.cast(SPAN)).otherwise(nothing(SPAN))
 

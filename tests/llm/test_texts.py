@@ -107,6 +107,19 @@ def test_added_kinds(spark):
     assert kinds == [("iban", 5), ("ssn", 33)]
 
 
+def test_ibans_in_any_company(spark):
+    """Before capitalised words, numbers, a BIC and other IBANs, and behind what looks like one."""
+    de, spaced, gb, mt = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "MT84MALT011000012345MTLCAST001S"
+    found = [(f"{de} Please pay", [de]), (f"Konto {spaced} Die Bank", [spaced]), (f"{spaced} BIC COBADEFF", [spaced]), (f"{gb} 2024", [gb]), (f"{de} {gb} {mt} X", [de, gb, mt]),
+             (f"FR76 {de} 1 Please", [de]), (f"é😀 {spaced}", [spaced]), (" ".join(mt) + " A", []), ("DE89 " + " ".join(de[4:]), ["DE89 " + " ".join(de[4:])])]
+    lost = [f"{de}A", f"{de}1 2", f"x{de}", de[:-1], "DE89370400440532013001 A", "ZZ89370400440532013000 A"]
+    df = spark.createDataFrame([(x, y) for x, y in found] + [(x, []) for x in lost], "text string, ibans array<string>")
+    for r in df.select("text", "ibans", pii.spans(F.col("text")).alias("s")).collect():
+        assert [s["text"] for s in r["s"] if s["kind"] == "iban"] == r["ibans"], r["text"]
+        assert all(r["text"][s["start"] : s["end"]] == s["text"] for s in r["s"])
+    assert pii.redact(df.limit(1)).first()["text"] == "<IBAN> Please pay"
+
+
 @pytest.mark.parametrize("most", [10**6, -1])
 def test_secrets(rows, most):
     data, df = rows
