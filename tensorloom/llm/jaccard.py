@@ -332,17 +332,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, t
 def keep_one(docs: DataFrame, key: str = "doc_id", **params) -> DataFrame:
     """The rows of ``docs`` with one document of each component, columns unchanged.
 
-    The row whose key is the component's id stays; of rows that share that key, one. Documents
-    without words all stay.
+    Of a component's rows the one of least key stays, nulls last, then that of the least digest of
+    its text. Rows are told apart by a number of their own, so rows that share a key, null or not,
+    go or stay each by its text. Documents without words all stay.
     """
-    found = join(docs, key=key, **params)
-    gone = found.where((F.col("n_shingles") > 0) & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone")).distinct()
-    gone = _small(written(gone, "gone"))
-    left = docs.join(gone, docs[key].eqNullSafe(gone["__gone"]), "left_anti")
-    twice = found.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select(F.col(key).alias("__key"))
-    twice = written(twice, "twice")
-    if twice.isEmpty():
-        return left
-    # Repeated keys: equal rows are one document.
-    again = left.join(_small(twice), left[key].eqNullSafe(twice["__key"]), "left_semi").dropDuplicates()
-    return left.join(_small(twice), left[key].eqNullSafe(twice["__key"]), "left_anti").unionByName(again)
+    text = params.get("text", "text")
+    body = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    rows = written(docs.withColumns({"__row": F.monotonically_increasing_id(), "__body": body}), "rows")
+    found = join(rows, key="__row", **params).where(F.col("n_shingles") > 0).select(F.col("__row").alias("__id"), F.col("component_id").alias("__of"))
+    found = written(found, "found")
+    crowds = written(found.groupBy("__of").agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select(F.col("__of").alias("__crowd")), "crowds")
+    crowded = found.join(_small(crowds), F.col("__of") == F.col("__crowd"), "left_semi")
+    order = F.struct(F.col(key).isNull(), F.col(key), F.col("__body"), F.col("__row"))
+    members = rows.select(key, "__body", "__row").join(_small(written(crowded, "crowded")), F.col("__row") == F.col("__id")).select("__of", "__row", order.alias("__order"))
+    members = written(members, "members")
+    stays = members.groupBy("__of").agg(F.min("__order")["__row"].alias("__stays")).select("__stays")
+    gone = members.join(_small(written(stays, "stays")), F.col("__row") == F.col("__stays"), "left_anti").select(F.col("__row").alias("__gone"))
+    return rows.join(_small(written(gone, "gone")), F.col("__row") == F.col("__gone"), "left_anti").drop("__row", "__body")

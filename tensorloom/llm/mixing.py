@@ -16,8 +16,9 @@ inside one bin are put in order. A source that holds a third of all rows is spre
 The only unpartitioned windows are over one row per source.
 
 Defined results: null and empty texts have size 0, are never needed to meet a target and take no
-words; a null source is a source of its own, placed last. Repeated rows are separate documents;
-rows equal in key and size tie, so both may be taken to fill the last gap. An empty table gives an empty one.
+words; a null source is a source of its own, placed last. Repeated rows and rows of a null or
+repeated key are separate documents with copies of their own; where they tie, their order in
+the input decides. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -83,9 +84,12 @@ def mix(
     weights: tuple = WEIGHTS,
     cap: int = CAP,
     seed: str = "mix-1",
+    row: str | None = None,
 ) -> DataFrame:
     """Key, source, size, source_size, target, copies: one row per row of ``docs``.
 
+    ``row`` names a column of ``docs`` that is unique; it breaks ties and is returned too.
+
     ``utility`` (positive; 1 by default) makes the inclusion probabilities of one source unequal:
     a document of utility ``v`` has the odds ``v * f/(1-f)``, where ``f`` is the source's open
     share. ``copies`` is the number of times the mix takes the document, ``cap`` at most.
@@ -97,6 +101,7 @@ def mix(
             n_words(F.col(text)).alias("size"),
             uniform(F.col(key), seed).alias("u"),
             (F.lit(1.0) if utility is None else utility.cast("double")).alias("utility"),
+            (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"),
         ),
         "sizes",
     )
@@ -121,7 +126,7 @@ def mix(
     ends = (F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") > F.col("missing"))
     cut = placed.where(ends).withColumn("extra", F.lit(0).cast("long"))
     own = Window.partitionBy("source")  # of one bin each
-    earlier = own.orderBy("rank", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = own.orderBy("rank", "key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(SWEEPS):
         cut = cut.withColumn("gap", F.col("missing") - F.col("before") - F.sum(F.col("size") * F.col("extra")).over(own))
         cut = cut.withColumn("fit", F.when((F.col("extra") == 0) & (F.col("size") <= F.col("gap")), F.col("size")))
@@ -129,18 +134,18 @@ def mix(
         cut = cut.withColumn("extra", F.when(F.col("fit").isNotNull() & (F.col("sum") + F.col("size") <= F.col("gap")), 1).otherwise(F.col("extra")).cast("long"))
     cut = cut.drop("gap", "fit", "sum")
     other = placed.where(~ends).withColumn("extra", (F.col("before") < F.col("missing")).cast("long"))
-    drawn = written(other.unionByName(cut).select("key", "source", "size", "source_size", "target", "whole", "missing", "rank", "extra"), "drawn")
+    drawn = written(other.unionByName(cut).select("key", "source", "size", "source_size", "target", "whole", "missing", "rank", "extra", "row"), "drawn")
     # What is still missing goes to the one document that fills it best.
     gaps = drawn.groupBy("source").agg(F.first("missing").alias("m"), F.sum(F.col("size") * F.col("extra")).alias("got"))
     gaps = gaps.select(F.col("source").alias("s"), (F.col("m") - F.coalesce("got", F.lit(0))).alias("gap"))
     off = F.abs(F.col("size") - F.col("gap"))
     open_ = drawn.where((F.col("extra") == 0) & (F.col("size") > 0)).join(F.broadcast(gaps) if _few(gaps) else gaps, F.col("source").eqNullSafe(F.col("s")))
-    best = open_.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank", "key", "size")).alias("b"))
-    best = best.select(F.col("source").alias("s"), F.col("b.rank").alias("r"), F.col("b.key").alias("k"), F.col("b.size").alias("z"))
-    fills = F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("size") == F.col("z"))
-    both = drawn.join(best, fills, "left")
+    best = open_.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank", "key", "size", "row")).alias("b"))
+    best = best.select(F.col("b.row").alias("r"), F.col("b.size").alias("z"))  # one row per source at most
+    both = drawn.join(best, F.col("row") == F.col("r"), "left")
     copies = F.col("whole").cast("long") + F.col("extra") + (F.col("z").isNotNull() & (F.col("extra") == 0)).cast("long")
-    return both.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.least(copies, F.lit(cap)).cast("long").alias("copies"))
+    found = both.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.least(copies, F.lit(cap)).cast("long").alias("copies"), F.col("row").alias("__row"))
+    return found.drop("__row") if row is None else found.withColumnRenamed("__row", row)
 
 
 def _few(sources: DataFrame) -> bool:
@@ -151,11 +156,11 @@ def _few(sources: DataFrame) -> bool:
 def repeat(docs: DataFrame, key: str = "doc_id", **params) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it, columns unchanged.
 
-    Rows that share a key share the text's fate only if they are equal; keys are expected to be
-    unique, and rows of a repeated key are taken as often as the least taken of them.
+    Copies are decided row by row, so rows that share a key, null or not, have copies of their own.
     """
-    taken = mix(docs, key=key, **params).groupBy(key).agg(F.min("copies").alias("__copies"))
-    taken = written(taken.where(F.col("__copies") > 0).withColumnRenamed(key, "__key"), "taken")
+    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    taken = mix(docs, key=key, row="__row", **params).where(F.col("copies") > 0).select(F.col("__row").alias("__taken"), F.col("copies").alias("__copies"))
+    taken = written(taken, "taken")
     taken = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
-    kept = docs.join(taken, docs[key].eqNullSafe(taken["__key"]), "inner")
-    return kept.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    kept = docs.join(taken, docs["__row"] == taken["__taken"], "inner")
+    return kept.select(*[docs[c] for c in docs.columns if c != "__row"], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")

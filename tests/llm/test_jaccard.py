@@ -93,3 +93,14 @@ def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     assert got(jaccard.join(docs)) == brute([tuple(r) for r in docs.collect()], 4, 85)
     assert docs.count() > jaccard.keep_one(docs).agg(F.count("*")).first()[0]
+
+
+def test_keep_one_decides_row_by_row(spark):
+    """Null and repeated ids with different texts: only copied rows go."""
+    rows = [(1, "one two three four five", "a"), (None, "one two three four five", "b"), (None, "alone among the null ids", "c"), (None, None, "d"), (None, "", "e"), (1, "same id but another text here", "f"),
+            (2, "same id but another text here", "g"), (2, "kept for its unique text", "h"), (None, "twice without any id at all", "i"), (None, "twice without any id at all", "j")]
+    for parts in (1, 5):
+        left = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(parts))
+        got = [r["mark"] for r in left.collect()]
+        assert left.columns == ["doc_id", "text", "mark"]
+        assert sorted("i" if m == "j" else m for m in got) == list("acdefhi")

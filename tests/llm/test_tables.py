@@ -106,6 +106,22 @@ def test_mixing_capped_sources(spark):
     assert mixing.mix(df.where("false")).count() == 0 and mixing.mix(df.withColumn("text", F.lit(None).cast("string"))).where("copies > 3").count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_repeat_decides_row_by_row(spark, key):
+    """Rows that share a null or repeated id have copies of their own, so every source meets its target."""
+    rows = [(key, f"{s}{i if i % 2 else 0} " * 10, s) for s, n in (("a", 60), ("b", 90), ("c", 150)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want, taken, times = shared({"a": 600, "b": 900, "c": 1500}), Counter(), Counter()
+    kept = mixing.repeat(df)
+    for r in kept.collect():
+        taken[r["source"]] += 10
+        times[r["text"]] += 1
+    assert kept.columns == df.columns and all(abs(taken[s] - want[s]) <= 10 for s in want)
+    assert all(times[t] <= 3 * n for t, n in Counter(r[1] for r in rows).items())
+    mixed = mixing.mix(df).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"))
+    assert all(abs(r["n"] - want[r["source"]]) <= 10 for r in mixed.collect())
+
+
 URLS = [
     None, "", "no scheme", "://", "http://", "HTTP://A.COM/en/x?y://z", "http://com/en/", "http://xcom/en/1", "http://sub.example.com/en/7?x", "http://example.com/en/8", "https://EXAMPLE.net/de/81#a",
     "https://a.net/de/9", "https://a.net/DE/9", "https://a.org?es/", "https://b.a.org/es/", "ftp://h#/com/en/", "x\ny://h.com/en/1\nz", "http://casino-win.example.com/fr/1",
