@@ -36,3 +36,11 @@ def test_entry_imports_without_the_corpus_operators():
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
+def test_component_sets_come_from_every_document(spark, tmp_path):
+    """A document of any id counts."""
+    rows = [(60, "en", "late"), (61, "en", "src9"), (999999, "en", "src8")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in QUERIES["component_set_check_all"](spark, str(tmp_path)).select("lang", "missing", "covered", "required").collect()]
+    assert got == [("en", "src9", True, "late,src8,src9")]
