@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tensorloom import api
 from tensorloom.functions import codecs
 from tensorloom.functions.dtypes import DTYPES
-from tensorloom.shipping import shared_dir, ship
+from tensorloom.shipping import run_dir, ship
 from tensorloom.sources import container
 
 QUERIES: dict = {}
@@ -30,10 +30,10 @@ def query(sql: str | None = None):
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below the shared one."""
+    """A new folder below the application's own."""
     from pyarrow import fs
 
-    path = f"{shared_dir(spark)}/packs-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/packs-{uuid.uuid4().hex}"
     path = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
     system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     system.create_dir(inner, recursive=True)

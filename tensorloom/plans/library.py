@@ -349,34 +349,37 @@ def component_dtype_default(spark, sf_dir):
     return _components(spark, sf_dir).select(n, manifest.dtype_on_load(n, _TYPES).alias("on_load"), manifest.dtype_on_load(n, {}).alias("on_load_bare"), manifest.dtype_on_save(n, _TYPES).alias("on_save"))
 
 
-@query(
-    """WITH g AS (
-      SELECT lang, list_distinct(list(source)) AS expected, list_distinct(list(source) FILTER (WHERE doc_id % 3 = 0)) AS provided,
-             list_distinct(list(source) FILTER (WHERE doc_id % 3 = 1)) AS passed, ['src1', 'src2', 'src3'] AS optional FROM documents WHERE doc_id < 60 GROUP BY lang
+def _set_check_sql(group: str, name: str, provided: str, passed: str, optional: list[str], table: str) -> str:
+    return f"""WITH g AS (
+      SELECT {group}, list_distinct(list({name})) AS expected, list_distinct(list({name}) FILTER (WHERE {provided})) AS provided,
+             list_distinct(list({name}) FILTER (WHERE {passed})) AS passed, {optional} AS optional FROM {table} GROUP BY {group}
     ), m AS (
       SELECT *, list_filter(expected, lambda x: NOT coalesce(list_contains(provided, x), false)) AS miss FROM g
     )
-    SELECT lang, array_to_string(list_sort(miss), ',') AS missing,
+    SELECT {group}, array_to_string(list_sort(miss), ',') AS missing,
       len(list_filter(miss, lambda x: NOT list_contains(list_concat(coalesce(passed, []), optional), x))) = 0 AS covered,
       array_to_string(list_sort(list_filter(list_distinct(list_concat(coalesce(provided, []), coalesce(passed, []))), lambda x: NOT list_contains(optional, x))), ',') AS required FROM m"""
-)
-def component_set_check(spark, sf_dir):
-    """Small sets of component names, eight to twenty, by language."""
-    return _set_check(spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id") < 60))
 
 
-def _set_check(docs: DataFrame) -> DataFrame:
-    of = lambda r: F.collect_set(F.when(F.col("doc_id") % 3 == r, F.col("source")))
-    sets = docs.groupBy("lang").agg(F.collect_set("source").alias("expected"), of(0).alias("provided"), of(1).alias("passed"))
-    optional = F.array(F.lit("src1"), F.lit("src2"), F.lit("src3"))
-    checked = sets.select("lang", *manifest.set_check(F.col("expected"), F.col("passed"), F.col("provided"), optional))
-    return checked.select("lang", F.array_join("missing", ",").alias("missing"), "covered", F.array_join("required", ",").alias("required"))
+def _set_check(rows: DataFrame, group: str, name: str, provided, passed, optional: list[str]) -> DataFrame:
+    of = lambda test: F.collect_set(F.when(test, F.col(name)))
+    sets = rows.groupBy(group).agg(F.collect_set(name).alias("expected"), of(provided).alias("provided"), of(passed).alias("passed"))
+    checked = sets.select(group, *manifest.set_check(F.col("expected"), F.col("passed"), F.col("provided"), F.array(*map(F.lit, optional))))
+    return checked.select(group, F.array_join("missing", ",").alias("missing"), "covered", F.array_join("required", ",").alias("required"))
 
 
-@query(ORACLES["component_set_check"].replace(" WHERE doc_id < 60", ""))
+@query(_set_check_sql("conv_id", "role", "turn % 2 = 0", "turn % 3 = 0", ["system"], "conversations"))
+def component_set_check(spark, sf_dir):
+    """The roles of every conversation as component names: few names, many groups."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return _set_check(turns, "conv_id", "role", F.col("turn") % 2 == 0, F.col("turn") % 3 == 0, ["system"])
+
+
+@query(_set_check_sql("lang", "source", "doc_id % 3 = 0", "doc_id % 3 = 1", ["src1", "src2", "src3"], "documents"))
 def component_set_check_all(spark, sf_dir):
-    """The same check over every document."""
-    return _set_check(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The sources of every document by language: eight to twenty names, few groups."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _set_check(docs, "lang", "source", F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 == 1, ["src1", "src2", "src3"])
 
 
 _CHUNKS_SQL = f"""sized AS (

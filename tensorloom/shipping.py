@@ -7,6 +7,7 @@ import io
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,6 +15,7 @@ from pyspark.sql import SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,6 +31,7 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(_ROOT.rglob("*.py")):
             z.write(path, str(path.relative_to(_ROOT.parent)))
     folder = tempfile.mkdtemp(prefix="tensorloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     archive = Path(folder, f"{_ROOT.name}.zip")
     archive.write_bytes(packed.getvalue())
     context.addPyFile(str(archive))
@@ -50,3 +53,28 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         _shipped.add(own)
     return own
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one.
+
+    It goes with all its tables when the process ends, or earlier by :func:`clear`.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _folders:
+        _folders[context.applicationId] = f"{shared_dir(spark)}/tensorloom-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        # The JVM outlives ``stop()``, so its file systems can be asked at the process's end.
+        atexit.register(_remove, context._jvm, context._jsc.hadoopConfiguration(), _folders[context.applicationId])
+    return _folders[context.applicationId]
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables; DataFrames that read them are spent."""
+    context = spark.sparkContext
+    if context.applicationId in _folders:
+        _remove(context._jvm, context._jsc.hadoopConfiguration(), _folders[context.applicationId])
+
+
+def _remove(jvm, conf, folder: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(conf).delete(path, True)

@@ -1,6 +1,11 @@
 """Every query of the library against its SQL."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -32,10 +37,41 @@ def test_query(spark, sql, sf_dir, name):
     assert rows(df.columns, map(tuple, df.collect())) == rows(found.columns, found.fetchall())
 
 
-def test_entry_imports_without_the_corpus_operators():
-    import __spark_entry__
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_works_without_the_corpus_operators(tmp_path, sf_dir, pipeline):
+    """The package with both of its corpus folders gone, with and without the pipeline's module."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "tensorloom", tmp_path / "tensorloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline else [])):
+        shutil.copy(root / name, tmp_path / name)
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+names = set(e.queries())
+assert names and set(e.oracle_sql()) <= names and not any(n.startswith("op") and n[2:3].isdigit() or n == "pipeline" for n in names)
+assert e.entry(spark).count() and e.queries()["dtype_groups"](spark, SF_DIR).count()
+""".replace("SF_DIR", repr(sf_dir))
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr[-3000:]
 
-    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
+
+def test_intermediate_tables_go_when_the_application_ends(tmp_path):
+    """Every table below the shared folder is removed at the process's end."""
+    root = Path(__file__).resolve().parent.parent
+    code = """
+from pyspark.sql import SparkSession
+from tensorloom import shipping
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", SHARED).getOrCreate()
+for _ in range(2):
+    spark.range(5).write.parquet(shipping.run_dir(spark) + "/t")
+    shipping.clear(spark)
+spark.range(5).write.parquet(shipping.run_dir(spark) + "/t")
+spark.stop()
+""".replace("SHARED", repr(str(tmp_path / "shared")))
+    ran = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr[-3000:]
+    assert [f for f in os.listdir(tmp_path / "shared") if f.startswith("tensorloom")] == []
 
 
 def test_component_sets_come_from_every_document(spark, tmp_path):
