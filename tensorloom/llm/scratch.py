@@ -3,7 +3,8 @@
 Long plans are cut by writing Parquet below ``spark.checkpoint.dir`` and reading it back: the
 files outlive any executor, so a lost executor costs a reread and never a recomputation that
 could deal rows differently. Only where the session names no such folder (tests, notebooks on one
-machine) one is made below the warehouse.
+machine) one is made below the warehouse. The tables are removed when the process ends, or by
+:func:`tensorloom.shipping.clear` once a result is written.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.shipping import shared_dir, ship
+from tensorloom.shipping import run_dir, ship
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: evaluated once, lineage cut."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tensorloom-{uuid.uuid4().hex}/{name}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
