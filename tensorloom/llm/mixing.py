@@ -2,31 +2,47 @@
 
 Every source gets a target number of words: its share by weight of all words, held to at most
 ``cap`` times its own words, with the excess shared again by weight until no source is above its
-cap. A source whose target is ``f`` times its words takes ``floor(f)`` certain whole copies of
-every document. What is left is drawn by Pareto order sampling: a document with inclusion
-probability ``p`` and a fixed uniform number ``u`` is ranked by ``(u/(1-u)) / (p/(1-p))``, and the
-documents of lowest rank are taken up to the words still missing. Near the cut, documents that are
-larger than the gap are passed over; one more document, of those left the one whose size is nearest
-to the last gap, is taken where that brings the sum closer.
+cap. Inside a source, documents have unequal inclusion: a document of utility ``v`` is expected
+``e = min(cap, c * v)`` times, with the source's ``c`` such that the expected words add up to its
+target. By default ``v`` is the square root of the document's size over the source's mean size,
+inside ``[1/2, 2]``, so longer documents are likelier; ``utility`` puts any other measure in its
+place (a quality score, or 1 for equal odds). Utilities are rounded to steps of 1/16.
+
+A document takes ``floor(e)`` certain whole copies. One more is drawn by Pareto order sampling with
+inclusion probability ``p = e - floor(e)``: with a uniform number ``u`` fixed by the key, documents
+are ranked by ``(u/(1-u)) / (p/(1-p))`` and taken from the lowest rank on, up to the place where the
+words taken are nearest to those still missing.
+
+In a source of few documents that place may be off by half a document. Where that is more than
+``TOLERANCE`` of the target, one exchange follows: of the ``NEAR`` documents on either side of the
+cut, a run of taken ones (in order of rank) leaves and a run of others comes in, so that the gap is
+inside the tolerance with the fewest documents changed, or else as small as can be. All other
+documents keep the decision of the Pareto draw.
 
 Scale: the text is read once, to count words; the small table of sizes is written to the shared
-folder. The cut is found without sorting a source in one task: ranks fall into ``BINS`` bins of
-nearly equal probability, the bins' words are summed (partial sums first), and only the documents
-inside one bin are put in order. A source that holds a third of all rows is spread over its bins.
-The only unpartitioned windows are over one row per source.
+folder. The cut is found without sorting a source in one task: ranks fall into ``BINS`` bins, the
+bins' words are summed (partial sums first), and only the documents inside one bin are put in order.
+A source that holds a third of all rows is spread over its bins. Utilities are summed by step, at
+most 25 rows a source, and an exchange sees ``2 * NEAR`` rows a source. The only unpartitioned
+windows are over one row per source.
 
 Defined results: null and empty texts have size 0, are never needed to meet a target and take no
-words; a null source is a source of its own, placed last. Repeated rows and rows of a null or
-repeated key are separate documents with copies of their own; where they tie, their order in
-the input decides. An empty table gives an empty one.
+words; a null source is a source of its own, placed last; a null utility counts as 1. Repeated rows
+and rows of a null or repeated key are separate documents with copies of their own; where they tie
+(on the cut too), size and then their order in the input decide. Very long texts count by all their
+words, and one that no subset can balance leaves its source off by part of its size. An empty table
+gives an empty one. Extra columns are not read by :func:`mix`; :func:`repeat` hands them on
+whatever their names.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.scratch import written
+from tensorloom.llm.scratch import for_workers, written
 from tensorloom.llm.words import n_words
 
 #: Weights of the sources in code point order, repeating.
@@ -35,10 +51,12 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Bins of the rank by which the cut is found, at most, and the documents for which there is one.
 BINS, BIN_ROWS = 4096, 1024
-#: Passes over the bin of the cut; each skips documents larger than the gap that the last one left.
-SWEEPS = 4
-
-
+#: Utilities count in steps of one in so many, from half to twice the usual one.
+STEPS = 16
+#: The part of its target that a source may be off before documents are exchanged.
+TOLERANCE = 0.001
+#: Documents on each side of the cut that an exchange may touch.
+NEAR = 64
 #: Keys with their copies that are broadcast at most (16 bytes each); beyond, texts are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -50,7 +68,7 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Source, source_size, target: one row per source of ``sizes(source, size)``.
+    """Source, source_size, target, n (its rows): one row per source of ``sizes(source, size)``.
 
     Sharing the excess again and again ends at one level ``x`` at which every source gets
     ``min(cap * size, x * weight)``. In order of ``cap * size / weight`` the capped sources come
@@ -62,7 +80,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
     before = rising.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     w = F.array(*[F.lit(float(x)) for x in weights])
-    own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     own = own.withColumn("weight", F.element_at(w, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
     own = own.withColumn("cap_words", F.col("source_size") * F.lit(float(cap)))
     rest_words = F.sum("source_size").over(every) - F.coalesce(F.sum("cap_words").over(before), F.lit(0.0))
@@ -72,7 +90,69 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
     # The first source in this order that stays below its cap sets the level for all; where none does, all are capped.
     own = own.withColumn("level", F.min("level").over(every)["x"])
     target = F.least(F.col("cap_words"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap_words")))
-    return own.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
+    return own.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"), "n")
+
+
+def _expected(sizes: DataFrame, goals: DataFrame, cap: int) -> DataFrame:
+    """Source, step, whole, p, missing: one row for each step of utility of each source.
+
+    Steps that reach the cap are the highest ones, so the level ``c`` follows from running sums.
+    """
+    strata = sizes.groupBy("source", "step").agg(F.sum("size").alias("words"))
+    strata = strata.join(goals.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    falling = Window.partitionBy("source").orderBy(F.col("step").desc())
+    above = F.coalesce(F.sum("words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("step") * F.col("words")).over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    strata = strata.withColumn("above", above).withColumn("rest", rest)
+    level = F.when(F.col("rest") > 0, (F.col("target") - F.lit(float(cap)) * F.col("above")) / F.col("rest"))
+    strata = strata.withColumn("level", F.when(level * F.col("step") <= F.lit(float(cap)), F.struct((-F.col("step")).alias("nth"), level.alias("c"))))
+    strata = strata.withColumn("level", F.min("level").over(Window.partitionBy("source"))["c"])
+    expected = F.least(F.lit(float(cap)), F.coalesce(F.col("level") * F.col("step"), F.lit(float(cap))))
+    strata = strata.withColumn("e", F.when(F.abs(expected - F.round(expected)) < 1e-9, F.round(expected)).otherwise(expected))
+    strata = strata.withColumn("whole", F.floor("e")).withColumn("p", F.col("e") - F.col("whole"))
+    missing = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source"))
+    return strata.select("source", "step", F.col("whole").cast("long").alias("whole"), "p", missing.alias("missing"))
+
+
+def exchange(taken: np.ndarray, passed: np.ndarray, gap: float, tolerance: float) -> tuple[slice, slice]:
+    """The run of ``taken`` that leaves and the run of ``passed`` that comes, as slices.
+
+    Sizes are in order of closeness to the cut; ``gap`` words are missing.
+    """
+
+    def runs(sizes: np.ndarray):
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = [(0, 0), *[(i, n) for i in range(len(sizes)) for n in range(1, len(sizes) - i + 1)]]
+        first, n = np.array(at, np.int64).T
+        return first, n, (ends[first + n] - ends[first]).astype(np.float64)
+
+    (a, an, a_words), (b, bn, b_words) = runs(taken), runs(passed)
+    left = np.abs(np.round(gap + a_words[:, None] - b_words[None, :], 6))
+    score = np.where(left <= tolerance, 0.0, left)
+    best = np.argwhere(score == score.min())
+    changes = an[best[:, 0]] + bn[best[:, 1]]
+    best = best[changes == changes.min()]
+    i, j = best[np.argmin(left[best[:, 0], best[:, 1]])]
+    return slice(a[i], a[i] + an[i]), slice(b[j], b[j] + bn[j])
+
+
+def _exchanged(drawn: DataFrame) -> DataFrame:
+    """``flip``: the rows whose draw is turned round, at most ``2 * NEAR`` of a source."""
+    got = drawn.groupBy("source").agg(F.first("missing").alias("m"), F.first("target").alias("t"), F.sum(F.col("size") * F.col("extra")).alias("got"))
+    got = got.select(F.col("source").alias("s"), F.round(F.col("m") - F.col("got"), 6).alias("gap"), (F.lit(TOLERANCE) * F.col("t")).alias("tolerance"))
+    got = written(got.where(F.abs("gap") > F.col("tolerance")), "gaps")
+    open_ = drawn.where((F.col("p") > 0) & (F.col("size") > 0)).join(F.broadcast(got) if _few(got) else got, F.col("source").eqNullSafe(F.col("s")))
+    off = F.when(F.col("extra") == 1, -F.col("rank")).otherwise(F.col("rank"))
+    nearest = Window.partitionBy("source", "extra").orderBy(off, "key", "size", "row")
+    near = open_.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= NEAR).select("source", "extra", "nth", "size", "row", "gap", "tolerance")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("nth")
+        taken, passed = pdf[pdf["extra"] == 1], pdf[pdf["extra"] == 0]
+        out, in_ = exchange(taken["size"].to_numpy(), passed["size"].to_numpy(), float(pdf["gap"].iloc[0]), float(pdf["tolerance"].iloc[0]))
+        return pd.DataFrame({"flip": pd.concat([taken["row"].iloc[out], passed["row"].iloc[in_]]).astype("int64")})
+
+    return near.groupBy("source").applyInPandas(run, "flip bigint")
 
 
 def mix(
@@ -86,65 +166,59 @@ def mix(
     seed: str = "mix-1",
     row: str | None = None,
 ) -> DataFrame:
-    """Key, source, size, source_size, target, copies: one row per row of ``docs``.
-
-    ``row`` names a column of ``docs`` that is unique; it breaks ties and is returned too.
+    """Key, source, size, source_size, target, copies, drawn, exchanged: one row per row of ``docs``.
 
-    ``utility`` (positive; 1 by default) makes the inclusion probabilities of one source unequal:
-    a document of utility ``v`` has the odds ``v * f/(1-f)``, where ``f`` is the source's open
-    share. ``copies`` is the number of times the mix takes the document, ``cap`` at most.
+    ``copies`` is the number of times the mix takes the document, ``cap`` at most; ``drawn`` says
+    whether one of them was drawn, ``exchanged`` whether that is against the Pareto order. ``row``
+    names a column of ``docs`` that is a unique long; it breaks ties and is returned too.
     """
-    sizes = written(
-        docs.select(
-            F.col(key).alias("key"),
-            F.col(source).alias("source"),
-            n_words(F.col(text)).alias("size"),
-            uniform(F.col(key), seed).alias("u"),
-            (F.lit(1.0) if utility is None else utility.cast("double")).alias("utility"),
-            (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"),
-        ),
-        "sizes",
+    for_workers(docs.sparkSession)
+    sizes = docs.select(
+        F.col(key).alias("key"),
+        F.col(source).alias("source"),
+        n_words(F.col(text)).alias("size"),
+        uniform(F.col(key), seed).alias("u"),
+        (F.lit(None) if utility is None else F.coalesce(utility, F.lit(1.0))).cast("double").alias("utility"),
+        (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"),
     )
+    sizes = written(sizes, "sizes")
     bins = max(1, min(BINS, sizes.count() // BIN_ROWS))
-    goals = targets(sizes, weights, cap).withColumn("factor", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    goals = goals.withColumn("whole", F.floor("factor")).withColumn("open", F.col("factor") - F.col("whole"))
-    goals = goals.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
-    goals = written(goals, "targets")  # one row per source
-    ranked = sizes.join(goals, sizes["source"].eqNullSafe(goals["source"]), "inner").drop(goals["source"])
-    # With inclusion odds o, rank r = (u/(1-u))/o; r/(1+r) is in (0, 1) and has the same order.
-    odds = F.col("u") / (F.lit(1.0) - F.col("u"))
-    inclusion = F.col("utility") * F.col("open") / (F.lit(1.0) - F.col("open"))
-    rank = F.when(inclusion > 0, odds / inclusion)
-    ranked = ranked.withColumn("rank", F.when(rank.isNotNull(), rank / (F.lit(1.0) + rank)).otherwise(F.lit(1.0)))
-    ranked = ranked.withColumn("bin", F.least(F.floor(F.col("rank") * F.lit(bins)), F.lit(bins - 1)).cast("int"))
+    goals = written(targets(sizes, weights, cap), "targets")  # one row per source
+    held = goals.select(F.col("source").alias("s"), "source_size", "target", "n")
+    sizes = sizes.join(held, sizes["source"].eqNullSafe(held["s"])).drop("s")
+    by_size = F.when(F.col("source_size") > 0, F.sqrt(F.col("size") / (F.col("source_size") / F.col("n"))))
+    step = F.floor(F.coalesce("utility", by_size, F.lit(1.0)) * F.lit(float(STEPS)) + F.lit(0.5))
+    sizes = sizes.withColumn("step", F.greatest(F.least(step, F.lit(2 * STEPS)), F.lit(STEPS // 2)).cast("long"))
+    strata = written(_expected(sizes, goals, cap), "strata")  # a few rows per source
+    strata = strata.select(F.col("source").alias("s"), F.col("step").alias("t"), "whole", "p", "missing")
+    ranked = sizes.join(strata, sizes["source"].eqNullSafe(strata["s"]) & (sizes["step"] == strata["t"])).drop("s", "t")
+    # A rank q becomes q/(1+q), which is in (0, 1) and has the same order.
+    odds = F.col("u") / (F.lit(1.0) - F.col("u")) * ((F.lit(1.0) - F.col("p")) / F.col("p"))
+    ranked = ranked.withColumn("rank", F.when(F.col("p") > 0, odds / (F.lit(1.0) + odds)))
+    ranked = ranked.withColumn("bin", F.when(F.col("p") > 0, F.least(F.floor(F.col("rank") * F.lit(bins)), F.lit(bins - 1))).cast("int"))
     by_bin = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"))
+    sums = ranked.where(F.col("p") > 0).groupBy("source", "bin").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(by_bin), F.lit(0)))
     sums = sums.select(F.col("source").alias("s"), F.col("bin").alias("b"), "before", "words")
-    placed = ranked.join(sums, ranked["source"].eqNullSafe(sums["s"]) & (ranked["bin"] == sums["b"])).drop("s", "b")
+    placed = ranked.join(sums, ranked["source"].eqNullSafe(sums["s"]) & (ranked["bin"] == sums["b"]), "left").drop("s", "b")
     # Only the bin in which a source's missing words end has its documents put in order.
-    ends = (F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") > F.col("missing"))
-    cut = placed.where(ends).withColumn("extra", F.lit(0).cast("long"))
-    own = Window.partitionBy("source")  # of one bin each
-    earlier = own.orderBy("rank", "key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(SWEEPS):
-        cut = cut.withColumn("gap", F.col("missing") - F.col("before") - F.sum(F.col("size") * F.col("extra")).over(own))
-        cut = cut.withColumn("fit", F.when((F.col("extra") == 0) & (F.col("size") <= F.col("gap")), F.col("size")))
-        cut = cut.withColumn("sum", F.coalesce(F.sum("fit").over(earlier), F.lit(0)))
-        cut = cut.withColumn("extra", F.when(F.col("fit").isNotNull() & (F.col("sum") + F.col("size") <= F.col("gap")), 1).otherwise(F.col("extra")).cast("long"))
-    cut = cut.drop("gap", "fit", "sum")
-    other = placed.where(~ends).withColumn("extra", (F.col("before") < F.col("missing")).cast("long"))
-    drawn = written(other.unionByName(cut).select("key", "source", "size", "source_size", "target", "whole", "missing", "rank", "extra", "row"), "drawn")
-    # What is still missing goes to the one document that fills it best.
-    gaps = drawn.groupBy("source").agg(F.first("missing").alias("m"), F.sum(F.col("size") * F.col("extra")).alias("got"))
-    gaps = gaps.select(F.col("source").alias("s"), (F.col("m") - F.coalesce("got", F.lit(0))).alias("gap"))
-    off = F.abs(F.col("size") - F.col("gap"))
-    open_ = drawn.where((F.col("extra") == 0) & (F.col("size") > 0)).join(F.broadcast(gaps) if _few(gaps) else gaps, F.col("source").eqNullSafe(F.col("s")))
-    best = open_.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank", "key", "size", "row")).alias("b"))
-    best = best.select(F.col("b.row").alias("r"), F.col("b.size").alias("z"))  # one row per source at most
-    both = drawn.join(best, F.col("row") == F.col("r"), "left")
-    copies = F.col("whole").cast("long") + F.col("extra") + (F.col("z").isNotNull() & (F.col("extra") == 0)).cast("long")
-    found = both.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.least(copies, F.lit(cap)).cast("long").alias("copies"), F.col("row").alias("__row"))
+    ends = F.coalesce((F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") >= F.col("missing")), F.lit(False))
+    order = Window.partitionBy("source").orderBy("rank", "key", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    through = F.col("before") + F.sum("size").over(order)
+    up_to = through - F.col("size")
+    nearer = (through <= F.col("missing")) | (through - F.col("missing") < F.col("missing") - up_to)
+    cut = placed.where(ends).withColumn("extra", ((up_to < F.col("missing")) & nearer).cast("long"))
+    other = placed.where(~ends).withColumn("extra", F.coalesce(F.col("before") < F.col("missing"), F.lit(False)).cast("long"))
+    columns = ("key", "source", "size", "source_size", "target", "whole", "p", "missing", "rank", "extra", "row")
+    drawn = written(other.unionByName(cut).select(*columns), "drawn")
+    flips = written(_exchanged(drawn), "exchanged")
+    both = drawn.join(F.broadcast(flips) if flips.count() <= BROADCAST_ROWS else flips, F.col("row") == F.col("flip"), "left")
+    turned = F.col("flip").isNotNull()
+    extra = F.when(turned, 1 - F.col("extra")).otherwise(F.col("extra"))
+    found = both.select(
+        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target",
+        (F.col("whole") + extra).cast("long").alias("copies"), (extra == 1).alias("drawn"), turned.alias("exchanged"), F.col("row").alias("__row"),
+    )
     return found.drop("__row") if row is None else found.withColumnRenamed("__row", row)
 
 
@@ -153,14 +227,17 @@ def _few(sources: DataFrame) -> bool:
     return sources.count() <= 100_000
 
 
-def repeat(docs: DataFrame, key: str = "doc_id", **params) -> DataFrame:
+def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **params) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it, columns unchanged.
 
     Copies are decided row by row, so rows that share a key, null or not, have copies of their own.
+    ``utility`` may use the columns ``key``, ``source`` and ``text``, and ``doc``, the row as a struct.
     """
-    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    taken = mix(docs, key=key, row="__row", **params).where(F.col("copies") > 0).select(F.col("__row").alias("__taken"), F.col("copies").alias("__copies"))
-    taken = written(taken, "taken")
+    rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "rows")
+    of = rows.select("row", "doc", *[F.col("doc").getField(c).alias(n) for n, c in (("key", key), ("text", text), ("source", source))])
+    mixed = mix(of, key="key", row="row", **params)
+    taken = written(mixed.where(F.col("copies") > 0).select(F.col("row").alias("at"), "copies"), "taken")
     taken = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
-    kept = docs.join(taken, docs["__row"] == taken["__taken"], "inner")
-    return kept.select(*[docs[c] for c in docs.columns if c != "__row"], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    kept = rows.join(taken, rows["row"] == taken["at"]).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -44,11 +44,11 @@ FROM f
 
 MIXING = rf"""
 WITH d AS (
-  SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+  SELECT row_number() OVER () AS r, doc_id, source, len({_WORDS})::BIGINT AS size,
          (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source
 ), o AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
          source_size * 3.0::DOUBLE AS cap
@@ -67,55 +67,65 @@ WITH d AS (
 ), l AS (
   SELECT c.*, f.level FROM c, f
 ), g AS (
-  SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM l
-), h AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS factor FROM g
-), p AS (
-  SELECT *, floor(factor) AS whole, target - floor(factor) * source_size AS missing, factor - floor(factor) AS open FROM h
+  SELECT source, source_size, n, least(cap, coalesce(level * weight, cap)) AS target FROM l
+), x AS (
+  SELECT d.*, g.source_size, g.target,
+    greatest(least(floor(coalesce(sqrt(size / nullif(g.source_size / g.n, 0)), 1.0) * 16 + 0.5), 32), 8)::BIGINT AS step
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), st AS (
+  SELECT source, step, any_value(target) AS target, sum(size)::BIGINT AS words FROM x GROUP BY source, step
+), ca AS (
+  -- Each step's level if it and all lower ones stay below the cap.
+  SELECT a.source, a.step, any_value(a.target) AS target, any_value(a.words) AS words,
+    (any_value(a.target) - 3.0::DOUBLE * coalesce(sum(b.words) FILTER (WHERE b.step > a.step), 0))
+      / nullif(sum(b.step * b.words) FILTER (WHERE b.step <= a.step), 0) AS c
+  FROM st a JOIN st b ON a.source IS NOT DISTINCT FROM b.source GROUP BY a.source, a.step
+), lv AS (
+  SELECT source, arg_max(c, step) AS c FROM ca WHERE c * step <= 3.0 GROUP BY source
+), ex AS (
+  SELECT ca.source, ca.step, ca.target, ca.words, least(3.0::DOUBLE, coalesce(lv.c * ca.step, 3.0)) AS e0 FROM ca LEFT JOIN lv ON ca.source IS NOT DISTINCT FROM lv.source
+), wh AS (
+  SELECT *, CASE WHEN abs(e0 - round(e0)) < 1e-9 THEN round(e0) ELSE e0 END AS e FROM ex
+), mi AS (
+  SELECT source, step, floor(e) AS whole, e - floor(e) AS p, target - sum(floor(e) * words) OVER (PARTITION BY source) AS missing FROM wh
 ), q AS (
-  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.whole, p.missing,
-    CASE WHEN p.open > 0 THEN (u / (1 - u)) / (p.open / (1 - p.open)) END AS o
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-), n AS (
-  SELECT greatest(1, least(4096, count(*) // 1024)) AS bins FROM d
+  SELECT x.*, mi.whole, mi.p, mi.missing, CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS o
+  FROM x JOIN mi ON x.source IS NOT DISTINCT FROM mi.source AND x.step = mi.step
 ), w AS (
-  SELECT q.*, coalesce(o / (1 + o), 1.0) AS rank FROM q
-), t AS (
-  SELECT w.*, least(floor(rank * bins), bins - 1) AS bin FROM w, n
-), b AS (
-  SELECT source, bin, sum(size) AS words, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM t GROUP BY source, bin
-), p0 AS (
-  SELECT t.*, b.before, b.before < missing AND b.before + b.words > missing AS ends,
-    CASE WHEN b.before < missing AND NOT (b.before + b.words > missing) THEN 1 ELSE 0 END AS extra, 0.0 AS g, 0 AS s
-  FROM t JOIN b ON t.source IS NOT DISTINCT FROM b.source AND t.bin = b.bin
-), @SWEEPS@, y AS (
-  SELECT *, missing - coalesce(sum(size * extra) OVER (PARTITION BY source), 0) AS gap FROM p4
-), z AS (
-  SELECT *, extra = 0 AND size > 0 AND abs(size - gap) < gap AS may FROM y
-), v AS (
-  SELECT *, may AND row_number() OVER (PARTITION BY source, may ORDER BY abs(size - gap), rank, doc_id, size) = 1 AS fill FROM z
+  SELECT *, o / (1 + o) AS rank FROM q
+), cu AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, p > 0 ORDER BY rank, doc_id, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through FROM w
+), dr AS (
+  -- The prefix of the order whose words are nearest to the missing ones.
+  SELECT *, (p > 0 AND through - size < missing AND (through <= missing OR through - missing < missing - (through - size)))::BIGINT AS extra FROM cu
+), ga AS (
+  SELECT *, round(missing - sum(size * extra) OVER (PARTITION BY source), 6) AS gap, 0.001 * target AS tol FROM dr
+), ne AS (
+  SELECT source, extra, r, size, gap, tol, row_number() OVER (PARTITION BY source, extra ORDER BY CASE WHEN extra = 1 THEN -rank ELSE rank END, doc_id, size, r) AS nth
+  FROM ga WHERE p > 0 AND size > 0 AND abs(gap) > tol
+), ru AS (
+  -- Runs of documents near the cut, and on either side the empty one.
+  SELECT a.source, a.extra, a.nth AS first, b.nth - a.nth + 1 AS n, sum(c.size)::DOUBLE AS words
+  FROM ne a JOIN ne b ON a.source IS NOT DISTINCT FROM b.source AND a.extra = b.extra AND a.nth <= b.nth AND b.nth <= 64
+  JOIN ne c ON a.source IS NOT DISTINCT FROM c.source AND a.extra = c.extra AND c.nth BETWEEN a.nth AND b.nth
+  GROUP BY a.source, a.extra, a.nth, b.nth
+  UNION ALL SELECT source, e, 1, 0, 0.0 FROM (SELECT DISTINCT source FROM ne), (SELECT unnest([0, 1]) AS e)
+), sw AS (
+  SELECT source, arg_min({{'a': a, 'an': an, 'b': b, 'bn': bn}}, (CASE WHEN lft <= tol THEN 0.0 ELSE lft END, an + bn, lft, a, an, b, bn)) AS w FROM (
+    SELECT o.source, o.first AS a, o.n AS an, i.first AS b, i.n AS bn, k.tol, abs(round(k.gap + o.words - i.words, 6)) AS lft
+    FROM ru o JOIN ru i ON o.source IS NOT DISTINCT FROM i.source AND o.extra = 1 AND i.extra = 0
+    JOIN (SELECT DISTINCT source, gap, tol FROM ne) k ON k.source IS NOT DISTINCT FROM o.source
+  ) GROUP BY source
+), fl AS (
+  SELECT ne.r FROM ne JOIN sw ON ne.source IS NOT DISTINCT FROM sw.source
+  WHERE (extra = 1 AND nth >= w.a AND nth < w.a + w.an) OR (extra = 0 AND nth >= w.b AND nth < w.b + w.bn)
+), fi AS (
+  SELECT dr.*, CASE WHEN fl.r IS NULL THEN extra ELSE 1 - extra END AS drawn FROM dr LEFT JOIN fl USING (r)
 )
-SELECT doc_id, size, source_size, target,
-  (size * least(whole + extra + fill::INT, 3))::BIGINT AS taken, least(whole + extra + fill::INT, 3)::BIGINT AS copies
-FROM v
+SELECT doc_id, size, source_size, target, (size * (whole + drawn))::BIGINT AS taken, (whole + drawn)::BIGINT AS copies FROM fi
 """
 
 
-
-def _sweep(i: int) -> str:
-    fit = "(extra = 0 AND ends AND size <= g)"
-    return f"""p{i} AS (
-  SELECT * REPLACE (CASE WHEN {fit} AND s + size <= g THEN 1 ELSE extra END AS extra) FROM (
-    SELECT *, coalesce(sum(CASE WHEN {fit} THEN size END) OVER (PARTITION BY source, ends ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
-    FROM (SELECT * EXCLUDE (g, s), missing - before - sum(size * extra) OVER (PARTITION BY source, ends) AS g FROM p{i - 1})
-  )
-)"""
-
-
-MIXING = MIXING.replace("@SWEEPS@", ", ".join(_sweep(i) for i in (1, 2, 3, 4)))
-
-
 def _places(kind: str, rank: int, pattern: str, good: str) -> str:
     """Rows (r, rank, kind, start, stop, m) of a pattern's matches for which ``good`` holds of m."""
     return f"""
