@@ -126,18 +126,21 @@ SELECT doc_id, size, source_size, target, (size * (whole + drawn))::BIGINT AS ta
 """
 
 
-def _places(kind: str, rank: int, pattern: str, good: str) -> str:
-    """Rows (r, rank, kind, start, stop, m) of a pattern's matches for which ``good`` holds of m."""
+def _places(kind: str, rank: int, pattern: str, good: str, near: str = "0") -> str:
+    """Rows (r, rank, kind, start, stop, m, score) of a pattern's matches for which ``good`` holds of m.
+
+    ``near`` gives the score; there ``before`` and ``after`` are the gaps to the pattern's other matches.
+    """
     return f"""
-  SELECT r, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop, m FROM (
-    SELECT r, i, m, (sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) - length(m))::BIGINT AS start FROM (
-      SELECT r, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g
+  SELECT r, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop, m, {near} AS score FROM (
+    SELECT r, i, m, before, after, (sum(length(before) + length(m)) OVER (PARTITION BY r ORDER BY i) - length(m))::BIGINT AS start FROM (
+      SELECT r, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS before, unnest(gs[2:len(ms) + 1]) AS after
       FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM base)
     )
   ) WHERE {good}"""
 
 
-def _digest(parts: list[str], kinds: tuple, order: str) -> str:
+def _digest(parts: list[str], kinds: tuple, order: str, more: str = "") -> str:
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}')::BIGINT AS n_{k}" for k in kinds)
     spans = f"coalesce(string_agg(kind || ':' || start::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY {order}), '')"
     base = " OR ".join(f"kind = '{k}'" for k in kinds)
@@ -145,26 +148,69 @@ def _digest(parts: list[str], kinds: tuple, order: str) -> str:
 WITH base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)})
 SELECT doc_id, {counts},
        sha256(coalesce(string_agg(kind || ':' || start::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY {order}) FILTER (WHERE {base}), '')) AS base_sha256,
-       {spans} AS spans
+       {spans} AS spans{more}
 FROM base LEFT JOIN s USING (r) GROUP BY r, doc_id
 """
 
 
+def _score(start: int, context: str, against: str) -> str:
+    near = "lower(right(before, 40) || ' ' || left(after, 24))"
+    return f"{start} + CASE WHEN regexp_matches({near}, '{context}') THEN 30 ELSE 0 END - CASE WHEN regexp_matches({near}, '{against}') THEN 30 ELSE 0 END"
+
+
+def _rooted(kind: str, rank: int, hint: str, anchored: str, not_before: str, proposed: str, good: str, score: str, after: str) -> str:
+    """As ``_places``, for patterns with bounds that RE2 has not: every place of a text is tried on its own.
+
+    ``proposed`` is the length of what the operator's pattern takes there, from which gaps count.
+    """
+    return f"""
+  SELECT r, {rank} AS rank, '{kind}' AS kind, i - 1 AS start, i - 1 + length(m) AS stop, m, {score} AS score FROM (
+    SELECT *, substr(t, last, i - last) AS before, {after} AS after FROM (
+      SELECT *, coalesce(lag(i + {proposed}) OVER (PARTITION BY r ORDER BY i), 1) AS last, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i), length(t) + 1) AS next FROM (
+        SELECT r, t, i, regexp_extract(substr(t, i, 64), '{anchored}', 1) AS m FROM (SELECT r, t, unnest(range(1, length(t) + 1)) AS i FROM base WHERE regexp_matches(t, '{hint}'))
+        WHERE i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '{not_before}')
+      ) WHERE m <> ''
+    )
+  ) WHERE {good} AND ({score}) >= 70"""
+
+
 _LUHN = """list_sum(list_transform(range(0, length(d)), lambda i:
     CASE WHEN i % 2 = 0 THEN d[length(d) - i]::INT
          WHEN 2 * d[length(d) - i]::INT > 9 THEN 2 * d[length(d) - i]::INT - 9 ELSE 2 * d[length(d) - i]::INT END)) % 10 = 0"""
 _D = "regexp_replace(m, '[^0-9]', '', 'g')"
 _OCTETS = "list_max(list_transform(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 WHEN ltrim(x, '0') = '' THEN 0 ELSE ltrim(x, '0')::INT END)) <= 255"
-PII = _digest(
-    [
-        _places("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-        _places("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", _OCTETS),
-        _places("card", 2, r"[0-9](?:[\x20-]?[0-9])+", f"length({_D}) BETWEEN 16 AND 19 AND {_LUHN.replace('d[', _D + '[').replace('length(d)', f'length({_D})')}"),
-        _places("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_D}) BETWEEN 8 AND 15"),
-    ],
-    ("email", "ip", "card", "phone"),
-    "rank, start",
-)
+# The check characters of an IBAN as one long number, its first four at the end, taken modulo 97 digit by digit.
+_S = "replace(m, ' ', '')"
+_MOD97 = f"""list_reduce(list_transform(string_split(substr({_S}, 5) || left({_S}, 4), ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN ord(c) - 55 ELSE ord(c) - 48 END),
+    lambda a, x: (a * (CASE WHEN x > 9 THEN 100 ELSE 10 END) + x) % 97, 0) = 1"""
+
+
+def _pii() -> str:
+    from tensorloom.llm.pii import IBAN_LENGTHS
+
+    by_length = {n: "|".join(sorted(c for c in IBAN_LENGTHS if IBAN_LENGTHS[c] == n)) for n in sorted(set(IBAN_LENGTHS.values()))}
+    iban = "^((?:" + "|".join(f"(?:{of})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, of in by_length.items()) + "))(?:[^A-Za-z0-9]|$)"
+    return _digest(
+        [
+            _places("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", _score(70, "mail|contact|write", "example|no-?reply")),
+            _places("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", _OCTETS, _score(60, r"(?:^|[^a-z0-9])ip(?:[^a-z0-9]|$)|address|server|host", "version|release|chapter")),
+            _places(
+                "card", 2, r"[0-9](?:[\x20-]?[0-9])+", f"length({_D}) BETWEEN 16 AND 19 AND {_LUHN.replace('d[', _D + '[').replace('length(d)', f'length({_D})')}",
+                _score(70, "card|visa|credit|pay", "order|serial|tracking"),
+            ),
+            _places("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_D}) BETWEEN 8 AND 15", _score(60, "call|phone|mobil|tel", "order|serial|tracking")),
+            _rooted("iban", 4, "[A-Z]{2}[0-9]{2} ?[A-Z0-9]", iban, "[A-Za-z0-9]", "4", _MOD97, _score(80, "iban|account|bank", "sample|serial"), "substr(t, i + length(m), 24)"),
+            _rooted(
+                "ssn", 5, "[0-9]-[0-9]{2}-[0-9]", "^([0-9]{3}-[0-9]{2}-[0-9]{4})(?:[^0-9-]|$)", "[0-9-]", "11", "NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$')",
+                _score(50, r"(?:^|[^a-z0-9])ssn(?:[^a-z0-9]|$)|social security", "order|serial|tracking"), "substr(t, i + 11, next - i - 11)",
+            ),
+        ],
+        ("email", "ip", "card", "phone"),
+        "rank, start",
+        ", coalesce(string_agg(score::VARCHAR, ',' ORDER BY rank, start), '') AS scores, count(*) FILTER (WHERE score >= 70)::BIGINT AS n_sure",
+    )
+
+
 _ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?"""
 SECRETS = _digest(
     [
@@ -259,4 +305,4 @@ FROM d LEFT JOIN own o ON o.doc_id = d.doc_id LEFT JOIN givers g ON g.dir = d.di
 """
 
 
-SQL: dict[str, str] = {"op1_pii": PII, "op3_licenses": _licenses(), "op5_top_k": TOP_K, "op6_secrets": SECRETS, "op7_jaccard": JACCARD, "op9_quality": QUALITY, "op10_mixing": MIXING}
+SQL: dict[str, str] = {"op1_pii": _pii(), "op3_licenses": _licenses(), "op5_top_k": TOP_K, "op6_secrets": SECRETS, "op7_jaccard": JACCARD, "op9_quality": QUALITY, "op10_mixing": MIXING}

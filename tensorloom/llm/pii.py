@@ -1,9 +1,13 @@
 r"""Personal data: patterns propose spans, checksums confirm them, nearby words move the score.
 
-Kinds ``email``, ``ip``, ``card`` and ``phone`` are the base: every match that passes its check
-is a span, whatever its score. ``iban`` and ``ssn`` are added: an IBAN must have its country's
-length and a remainder of 1 by 97, and an added span needs a score of ``LEAST``. Every place where
-an IBAN could start is tried, so what stands before or after an IBAN cannot hide it.
+Every span has a score of 100: its kind's own, ``CONTEXT`` more if a word of the kind's context is
+near (40 code points before it, 24 after, not beyond the neighbouring matches of its kind), and as
+much less if a word is near that speaks against it. Kinds ``email``, ``ip``, ``card`` and ``phone``
+are the base: every match that passes its check is a span, whatever its score, which tells the sure
+ones (``LEAST`` and more) from the others. ``iban`` and ``ssn`` are added: an IBAN must have its
+country's length and a remainder of 1 by 97, and an added span needs a score of ``LEAST``, so an
+``ssn`` is one by its context alone. Every place where an IBAN could start is tried, so what stands
+before or after an IBAN cannot hide it.
 
 All on DataFrame functions, in one pass over the text without a shuffle. A cheap test (a character
 or a short pattern) goes before each full pattern, so most texts are only looked at once. The
@@ -11,7 +15,8 @@ patterns run in linear time: they start only where a run of their first class st
 
 Defined results: a null text counts as empty and has no spans. Rows are independent, so repeated
 rows get equal results; an empty table gives an empty one. Places are code points, end exclusive.
-Extra columns are not read by :func:`scan`; :func:`redact` hands them on.
+A text of any length is read whole. Extra columns are not read by :func:`scan`; :func:`redact` hands
+them on whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from tensorloom.llm.spans import AFTER, bind, masked, matches, nothing
 SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:int>>"
 #: The score that an added span needs, of 100.
 LEAST = 70
-#: What a context word adds to the score.
+#: What a context word adds to the score, or takes off it.
 CONTEXT = 30
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -88,7 +93,8 @@ _REST = r"(?:\x20?[A-Z0-9]){{{n}}}+(?![A-Za-z0-9])"
 @dataclass(frozen=True)
 class Kind:
     """``hint`` is a cheap test that every text with a match passes; ``start`` is the score of a
-    match that passed ``valid``; ``context`` holds words that raise it when near. With ``whole``,
+    match that passed ``valid``; ``context`` and ``against`` hold words that raise and lower it when
+    near. With ``whole``,
     ``pattern`` only finds the starts, and ``whole`` is matched from each of them."""
 
     name: str
@@ -97,6 +103,7 @@ class Kind:
     valid: Callable[[Column], Column]
     start: int
     context: str
+    against: str
     base: bool = True
     whole: str | None = None
 
@@ -104,28 +111,28 @@ class Kind:
 KINDS = (
     Kind(
         "email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-        lambda t: t.contains("@"), lambda m: F.lit(True), 70, "mail|contact|write",
+        lambda t: t.contains("@"), lambda m: F.lit(True), 70, "mail|contact|write", "example|no-?reply",
     ),
     Kind(
         "ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-        lambda t: t.rlike(r"[0-9]\.[0-9]"), lambda m: m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), 60, r"\bip\b|address|server|host",
+        lambda t: t.rlike(r"[0-9]\.[0-9]"), lambda m: m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), 60, r"(?:^|[^a-z0-9])ip(?:[^a-z0-9]|$)|address|server|host", "version|release|chapter",
     ),
     Kind(
         "card", r"[0-9](?:[\x20-]?[0-9]){15,}+",
-        lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), _card, 70, "card|visa|credit|pay",
+        lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), _card, 70, "card|visa|credit|pay", "order|serial|tracking",
     ),
     Kind(
         "phone", r"\+[0-9][\x20().0-9-]+[0-9]",
-        lambda t: t.contains("+"), lambda m: F.length(_digits(m)).between(8, 15), 60, "call|phone|mobil|tel",
+        lambda t: t.contains("+"), lambda m: F.length(_digits(m)).between(8, 15), 60, "call|phone|mobil|tel", "order|serial|tracking",
     ),
     Kind(
         "iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_ibans('(?:{of})[0-9]{{2}}(?=' + _REST + ')')})",
-        lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"), _iban, 80, "iban|account|bank", base=False,
+        lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"), _iban, 80, "iban|account|bank", "sample|serial", base=False,
         whole=rf"^(?:{_ibans('(?:{of})[0-9]{{2}}' + _REST)})",
     ),
     Kind(
         "ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-        lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 50, r"\bssn\b|social security", base=False,
+        lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 50, r"(?:^|[^a-z0-9])ssn(?:[^a-z0-9]|$)|social security", "order|serial|tracking", base=False,
     ),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
@@ -154,10 +161,11 @@ def _wholes(text: Column, kind: Kind) -> Column:
 
 def _spans(text: Column, kind: Kind) -> Column:
     def scored(m: Column) -> Column:
-        near = F.lower(F.concat_ws(" ", m["before"], m["after"])).rlike(kind.context)
+        near = F.lower(F.concat_ws(" ", m["before"], m["after"]))
+        moved = lambda words: F.when(near.rlike(words), F.lit(CONTEXT)).otherwise(F.lit(0))
         return F.struct(
             F.lit(kind.name).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"),
-            (F.lit(kind.start) + F.when(near, F.lit(CONTEXT)).otherwise(F.lit(0))).alias("score"),
+            (F.lit(kind.start) + moved(kind.context) - moved(kind.against)).alias("score"),
         )
 
     found = F.transform(F.filter(_wholes(text, kind), lambda m: kind.valid(m["text"])), scored)

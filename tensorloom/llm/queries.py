@@ -20,10 +20,15 @@ def _counts(spans: str, kinds: tuple) -> list:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data of every document; the base kinds' digest and all spans."""
+    """Personal data of every document: the base kinds' digest, all spans, their scores, and how many are sure."""
     found = pii.scan(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
-    return found.select("doc_id", *_counts("spans", pii.BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    sure = F.size(F.filter("spans", lambda s: s["score"] >= pii.LEAST)).cast("long")
+    return found.select(
+        "doc_id", *_counts("spans", pii.BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        scores.alias("scores"), sure.alias("n_sure"),
+    )
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

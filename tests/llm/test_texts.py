@@ -120,6 +120,31 @@ def test_ibans_in_any_company(spark):
     assert pii.redact(df.limit(1)).first()["text"] == "<IBAN> Please pay"
 
 
+def test_pii_against_sql(spark, tmp_path):
+    """The query's own SQL on texts with every kind, in and out of context."""
+    import duckdb
+
+    from tensorloom.llm import oracles, queries
+
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819"
+    made = [f"iban {de} BIC X, {gb} 2024", f"sample {gb} and {gb}1 {de}", "ssn: 123-45-6789, 987-65-4321 or 223-45-6789", "order 123-45-6789 ssn", "mail a.b@c.example now", "write to x@y.org",
+            "server version 1.2.3.4 or host 4.3.2.1", "release 1.2.3.4", "pay 4111 1111 1111 1111 order 4111111111111111", "call +1 (017) 555-7713", "tracking +1 (017) 555-7713 12", "FR76 " + de]
+    rng = random.Random(9)
+    pieces = [de, gb, "123-45-6789", " ", " ", "ssn", "iban", "order", "x", "-", "1", "é", "A", ", "]
+    made += ["".join(rng.choice(pieces) for _ in range(rng.randrange(2, 14))) for _ in range(200)]
+    rows = [(i, x) for i, x in enumerate(texts(seed=8) + made)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = c.sql(oracles.SQL["op1_pii"])
+    got = queries.op1_pii(spark, str(tmp_path)).select(*want.columns).collect()
+    wanted = {r[0]: r for r in want.fetchall()}
+    for r in got:
+        assert tuple(r) == wanted[r["doc_id"]], rows[r["doc_id"]]
+    kinds = " ".join(r["spans"] for r in got)
+    assert len(got) == len(rows) and kinds.count("iban") > 20 and kinds.count("ssn") > 5 and {"40", "60", "70", "90", "100"} <= {x for r in got for x in r["scores"].split(",")}
+
+
 @pytest.mark.parametrize("most", [10**6, -1])
 def test_secrets(rows, most):
     data, df = rows
