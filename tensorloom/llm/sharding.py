@@ -1,28 +1,30 @@
 """Sharding by a k-d tree over metadata, with weighted medians found by distributed histograms.
 
 A point is a group of rows with equal texts (they stay together); its weight is the bytes of all
-its rows and its coordinates are metadata: source and language (first bytes, in order), the text's
-size on a log scale, and the text's fingerprint. A node is split along its widest dimension,
-relative to the whole table's range, at the weighted median, until there are as many leaves as
-shards, each near the target bytes.
+its rows and its coordinates are metadata: source and language (first bytes, in order) and the text's
+size on a log scale. A node is split along its widest dimension, relative to the whole table's range,
+at the weighted median, until there are as many leaves as shards, each near the target bytes.
 
 * The median of a node: one job sums the weights of all nodes' points in ``BINS`` bins of the
-  chosen dimension, a second sums the fingerprints of the bin that holds the median in ``BINS``
-  bins. Points are ordered by (bin, fingerprint bin), so ties (a source that holds a third of all
-  rows) are cut as exactly as any others. At most ``2 * BINS`` sums a node come to the driver,
-  whatever the number of rows.
+  chosen dimension, a second sums a hash of the text, the tie-break, of the bin that holds the median
+  in ``BINS`` bins. Points are ordered by (bin, bin of the hash), so ties (a source that holds a
+  third of all rows) are cut as exactly as any others. At most ``2 * BINS`` sums a node come to the
+  driver, whatever the number of rows.
 * Groups heavier than ``1 / HEAVY`` of a shard's target would leave shards uneven wherever they
   fall. There are at most ``shards * HEAVY`` of them; they are placed first, heaviest into the
   emptiest shard, and the medians are taken of what the shards have left. A group larger than half
-  a target is cut into slices by key before that (only such a group is spread over shards).
-* Slots: rows are numbered inside (shard, bucket of the key) and the buckets' counts are summed,
-  so no task numbers a whole shard.
+  a target is cut before that into slices of equal numbers of its rows, in order of key (only such a
+  group is spread over shards).
+* Numbers inside a group or a shard: rows are numbered inside (group or shard, bucket of the key)
+  and the buckets' counts are summed, so no task numbers a whole group or shard.
 
 The text is read once; the tables after that hold keys, sizes and coordinates and are written to
 the shared folder, so a lost executor can't deal rows differently.
 
-Defined results: a null text has size 1 and checksum 0 like the empty text; null metadata sorts
-first; repeated rows are separate rows of the same group; an empty table gives an empty one.
+Defined results: a null text has size 1 and checksum 0 like the empty text, and a very long one is a
+heavy group; null metadata sorts first; repeated rows are separate rows of the same group, which tie
+in all but their slot; a table of one text is cut into slices; an empty table gives an empty one.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ from tensorloom.llm.scratch import blank, written
 
 SHARDS = 8
 BINS = 4096
-HEAVY = 128
+HEAVY = 32
 #: Rows of one numbering bucket, about.
 BUCKET_ROWS = 50_000
-DIMENSIONS = ("by_source", "by_lang", "by_size", "by_text")
+DIMENSIONS = ("by_source", "by_lang", "by_size")
 
 
 def _ordered(text: Column) -> Column:
@@ -56,7 +58,7 @@ class _Node:
 
     def __init__(self, first: int, last: int):
         self.first, self.last, self.middle = first, last, (first + last + 1) // 2
-        self.dimension, self.low, self.width = "by_text", 0.0, 1.0
+        self.dimension, self.low, self.width = DIMENSIONS[0], 0.0, 1.0
         self.bin, self.sub = BINS, BINS  # points before (bin, sub) go left
 
     def binned(self) -> Column:
@@ -66,7 +68,7 @@ class _Node:
 
 
 def _sub() -> Column:
-    """The point's bin by fingerprint; independent of the ``by_text`` coordinate's leading bits."""
+    """The point's bin by the hash of its text."""
     return F.floor(F.col("tie") * F.lit(float(BINS))).cast("int")
 
 
@@ -129,20 +131,34 @@ def tree(points: DataFrame, room: list[float], ranges: dict[str, float]) -> Data
 
 
 def _place(heavy: list, shards: int, target: float) -> tuple[list[tuple], list[float]]:
-    """(group, slice, slices, shard) of the heavy groups, and the room left in each shard."""
+    """(group, rows, slice, slices, shard) of the heavy groups, and the room left in each shard."""
     pieces = []
-    for group, weight in heavy:
-        n = max(1, int(-(-weight // (target / 2)))) if weight > target / 2 else 1
-        n = n if n == 1 else min(64 * shards, n * 8)
-        pieces += [(weight / n, group, i, n) for i in range(n)]
+    for group, weight, rows in heavy:
+        n = min(64 * shards, rows, 8 * int(-(-weight // (target / 2)))) if weight > target / 2 else 1
+        pieces += [(weight / n, group, rows, i, n) for i in range(n)]
     used, out = [0.0] * shards, []
-    for weight, group, i, n in sorted(pieces, key=lambda p: (-p[0], p[1], p[2])):
+    for weight, group, rows, i, n in sorted(pieces, key=lambda p: (-p[0], p[1], p[3])):
         at = min(range(shards), key=lambda s: (used[s], s))
         used[at] += weight
-        out.append((group, i, n, at))
+        out.append((group, rows, i, n, at))
     return out, [max(0.0, target - u) for u in used]
 
 
+def numbered(rows: DataFrame, within: str, buckets: int) -> DataFrame:
+    """``rows`` with ``number``: from 0 and without a gap inside each value of ``within``.
+
+    In order of a hash of the key, then key, size and checksum; ``buckets`` of the hash keep tasks small.
+    """
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col("key").cast("string"), F.col("size")), F.lit(buckets)).cast("int"))
+    inside = Window.partitionBy(within, "bucket").orderBy("key", "size", "text_crc32")
+    rows = written(rows.withColumn("place", F.row_number().over(inside) - 1), "numbered")
+    counts = rows.groupBy(within, "bucket").agg(F.count("*").alias("in_bucket"))
+    before = Window.partitionBy(within).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(within).alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start"))
+    both = rows.join(starts, (F.col(within) == F.col("s")) & (F.col("bucket") == F.col("b")))
+    return both.withColumn("number", (F.col("start") + F.col("place")).cast("long")).drop("s", "b", "start", "place", "bucket")
+
+
 def shard(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", shards: int = SHARDS
 ) -> DataFrame:
@@ -162,8 +178,8 @@ def shard(
         F.min("by_source").alias("by_source"), F.min("by_lang").alias("by_lang"), F.max("size").alias("size"),
         F.sum("size").cast("double").alias("weight"), F.count("*").alias("n"),
     )
-    groups = groups.withColumn("by_size", F.log2(F.col("size").cast("double"))).withColumn("by_text", _unit(F.col("group")))
-    groups = written(groups.withColumn("tie", _unit(F.xxhash64("group"))), "groups")
+    groups = groups.withColumn("by_size", F.log2(F.col("size").cast("double"))).withColumn("tie", _unit(F.xxhash64("group")))
+    groups = written(groups, "groups")
     every = groups.agg(
         F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         *[F.coalesce(F.max(d) - F.min(d), F.lit(0.0)).alias(d) for d in DIMENSIONS],
@@ -171,26 +187,20 @@ def shard(
     target = every["weight"] / shards
     # Heavy by bytes, or by rows: neither kind can have more than shards * HEAVY groups.
     is_heavy = (F.col("weight") > target / HEAVY) | (F.col("n") > max(1.0, every["n"] / (shards * HEAVY)))
-    heavy = [(r["group"], r["weight"]) for r in groups.where(is_heavy).select("group", "weight").collect()]
+    heavy = [(r["group"], r["weight"], r["n"]) for r in groups.where(is_heavy).select("group", "weight", "n").collect()]
     placed, room = _place(heavy, shards, target)
-    light = tree(groups.where(~is_heavy), room, {d: every[d] for d in DIMENSIONS}).select(F.col("group").alias("g"), F.col("shard").cast("int").alias("shard"))
-    fixed = spark.createDataFrame(placed, "g long, slice int, slices int, shard int")
-    slices = spark.createDataFrame(sorted({(g, n) for g, _, n, _ in placed}), "h long, slices int")
-    marked = rows.join(F.broadcast(slices), F.col("group") == F.col("h"), "left").select("key", "size", "text_crc32", "group", "slices")
-    piece = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(7)), F.col("slices")).cast("int")
-    big = marked.where(F.col("slices").isNotNull()).withColumn("slice", piece).drop("slices")
-    big = big.join(F.broadcast(fixed.drop("slices")), (F.col("group") == F.col("g")) & (big["slice"] == fixed["slice"])).select("key", "size", "text_crc32", "shard")
-    small = marked.where(F.col("slices").isNull()).join(light, F.col("group") == F.col("g")).select("key", "size", "text_crc32", "shard")
-    dealt = written(numbered_in(big.unionByName(small), max(1, every["n"] // BUCKET_ROWS)), "dealt")
-    counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("in_bucket"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start"))
-    out = dealt.join(starts, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))
-    return out.select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"))
-
-
-def numbered_in(rows: DataFrame, buckets: int) -> DataFrame:
-    """``rows`` with ``bucket`` (by key) and ``place``, the row's number in its shard's bucket."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col("key").cast("string"), F.col("size")), F.lit(buckets)).cast("int"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("key", "size", "text_crc32")
-    return rows.withColumn("place", F.row_number().over(inside) - 1)
+    light = tree(groups.where(~is_heavy), room, {d: every[d] for d in DIMENSIONS}).select("group", F.col("shard").cast("int").alias("shard"))
+    whole = spark.createDataFrame([(g, at) for g, _, _, n, at in placed if n == 1], "group long, shard int")
+    cut = spark.createDataFrame(sorted({(g, rows_, n) for g, rows_, _, n, _ in placed if n > 1}), "h long, of long, slices long")
+    slices = spark.createDataFrame([(g, i, at) for g, _, i, n, at in placed if n > 1], "g long, slice long, shard int")
+    columns = ("key", "size", "text_crc32", "shard")
+    marked = rows.join(F.broadcast(cut), F.col("group") == F.col("h"), "left").select("key", "size", "text_crc32", "group", "of", "slices")
+    buckets = max(1, every["n"] // BUCKET_ROWS)
+    one = marked.where(F.col("slices").isNull()).join(light.unionByName(whole), "group").select(*columns)
+    if any(p[3] > 1 for p in placed):
+        many = numbered(marked.where(F.col("slices").isNotNull()), "group", buckets)
+        many = many.withColumn("slice", F.expr("number * slices div of"))
+        many = many.join(F.broadcast(slices), (F.col("group") == F.col("g")) & (many["slice"] == slices["slice"]))
+        one = one.unionByName(many.select(*columns))
+    out = numbered(one, "shard", buckets)
+    return out.select(F.col("key").alias(key), "size", "text_crc32", "shard", F.col("number").alias("slot"))

@@ -50,15 +50,69 @@ def test_sharding(spark):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in again} == {(r["doc_id"], r["shard"], r["slot"]) for r in out}
 
 
+def plain_tree(points, room, first=0, ranges=None):
+    """The tree by sorting: (id, source, lang, size, tie, weight) of each point, to (id, shard)."""
+    if len(room) == 1 or not points:
+        return {p[0]: first for p in points}
+    ranges = ranges or [max(p[d] for p in points) - min(p[d] for p in points) for d in (1, 2, 3)]
+    low = [min(p[d] for p in points) for d in (1, 2, 3)]
+    wide = [max(p[d] for p in points) - low[d - 1] for d in (1, 2, 3)]
+    names = ["by_source", "by_lang", "by_size"]
+    d = max(range(3), key=lambda i: (wide[i] / ranges[i] if ranges[i] else 0.0, names[i]))
+    bin_ = lambda p: min(max(math.floor((p[d + 1] - low[d]) / (wide[d] or 1.0) * sharding.BINS), 0), sharding.BINS - 1)
+    keys = defaultdict(list)
+    for p in points:
+        keys[bin_(p), math.floor(p[4] * sharding.BINS)].append(p)
+    half = len(room) // 2
+    goal = sum(p[5] for p in points) * sum(room[:half]) / sum(room)
+    left, right, total = [], [], 0.0
+    for k in sorted(keys):
+        w = sum(p[5] for p in keys[k])
+        (right if right or total + w / 2 > goal else left).extend(keys[k])
+        total += w
+    return {**plain_tree(left, room[:half], first, ranges), **plain_tree(right, room[half:], first + half, ranges)}
+
+
+@pytest.mark.parametrize("shards", [8, 5])
+def test_sharding_tree_against_sorting(spark, shards):
+    rng = random.Random(shards)
+    points = [(i, float(rng.choice([0, 0, 0, 5, 9, 12])), float(rng.choice([1, 1, 2])), rng.choice([0.0, rng.uniform(0, 14)]), rng.random(), float(rng.randrange(1, 5000))) for i in range(1500)]
+    room = [rng.uniform(0.5, 1.0) for _ in range(shards)]
+    df = spark.createDataFrame(points, "id long, by_source double, by_lang double, by_size double, tie double, weight double").repartition(3)
+    got = sharding.tree(df, room, {"by_source": 12.0, "by_lang": 1.0, "by_size": max(p[3] for p in points) - min(p[3] for p in points)})
+    want = plain_tree(points, room)
+    assert {r["id"]: r["shard"] for r in got.collect()} == want and set(want.values()) == set(range(shards))
+    # All three kinds of metadata split nodes, so no shard holds a plain mixture of everything.
+    homes = lambda d: {(p[d], want[p[0]]) for p in points if p[d] in (0.0, 1.0, 2.0, 5.0, 9.0, 12.0)}
+    assert len(homes(1)) < 4 * shards
+
+
 def test_sharding_edges(spark):
     _, df = table(spark, 5)
     assert sharding.shard(df.where("false")).count() == 0
     same = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"), F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"))
     load = Counter(r["shard"] for r in sharding.shard(same).collect())
-    assert len(load) == 8 and max(load.values()) < 1.6 * min(load.values())
+    assert len(load) == 8 and max(load.values()) <= 1.02 * min(load.values()) + 1
+    one_key = spark.createDataFrame([(7, "text of one key " * 3, "en", "s", i) for i in range(400)], "doc_id long, text string, lang string, source string, shard int").repartition(3)
+    out = sharding.shard(one_key).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == 400 and len(slots) == 8 and all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert Counter(r["shard"] for r in sharding.shard(df, shards=3).collect()).keys() <= {0, 1, 2}
 
 
+def test_sharding_with_a_hot_text(spark):
+    """Half of all rows share a text; the others have their own."""
+    rng = random.Random(4)
+    rows = [(i, "hot " * 40 if i % 2 else " ".join(str(rng.random()) for _ in range(rng.randrange(1, 20))), rng.choice(["en", "de"]), f"s{i % 7}") for i in range(3000)]
+    load = Counter()
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect():
+        load[r["shard"]] += r["size"]
+    mean = sum(load.values()) / 8
+    assert len(load) == 8 and max(abs(x - mean) for x in load.values()) < 0.02 * mean
+
+
 def shared(sizes, weights=(5, 2, 1), cap=3):
     """Targets by sharing the excess again and again."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
