@@ -135,7 +135,8 @@ def _place(heavy: list, shards: int, target: float) -> tuple[list[tuple], list[f
     pieces = []
     for group, weight, rows in heavy:
         n = min(64 * shards, rows, 8 * int(-(-weight // (target / 2)))) if weight > target / 2 else 1
-        pieces += [(weight / n, group, rows, i, n) for i in range(n)]
+        start = [-(-i * rows // n) for i in range(n + 1)]  # row number k is in slice k * n // rows
+        pieces += [(weight / rows * (start[i + 1] - start[i]), group, rows, i, n) for i in range(n)]
     used, out = [0.0] * shards, []
     for weight, group, rows, i, n in sorted(pieces, key=lambda p: (-p[0], p[1], p[3])):
         at = min(range(shards), key=lambda s: (used[s], s))
