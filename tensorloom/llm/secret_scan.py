@@ -15,7 +15,7 @@ spans only, so no text of a document without candidates is shuffled.
 
 All on DataFrame functions. Kinds ``assign``, ``access`` and ``hex`` are the base; the others are
 added rules. Defined results: a null text counts as empty and has no spans; repeated rows get
-equal results, one row each; an empty table gives an empty one. Places are code points, end
+equal results, one row each; an empty table gives an empty one; a text of any length is read whole. Places are code points, end
 exclusive. Extra columns are not read.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.scratch import blank, written
 from tensorloom.llm.spans import bind, matches, nothing
-from tensorloom.llm.trigrams import query
+from tensorloom.llm.trigrams import finder, query
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,text:string>>"
 #: Candidates that are broadcast at most.
@@ -88,10 +88,10 @@ def rule_queries() -> dict[str, list[frozenset[str]]]:
 def postings(marked: DataFrame, blocks: int) -> DataFrame:
     """block, gram, marks: the inverted index over ``marked(mark, t)``, in lists of bounded length."""
     grams = sorted({g for q in rule_queries().values() for c in q for g in c})
-    low = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    # One test for each trigram of the rules: the texts' other trigrams are never asked for.
-    held = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(g)) for g in grams]))
-    rows = marked.select("mark", F.pmod("mark", F.lit(blocks)).alias("block"), low.alias("low")).select("mark", "block", F.explode(held).alias("gram"))
+    # One pass finds all of them; the texts' other trigrams are never asked for.
+    found = F.array_distinct(F.regexp_extract_all("t", F.lit(finder(grams)), F.lit(1)))
+    rows = marked.select("mark", F.pmod("mark", F.lit(blocks)).alias("block"), F.explode(found).alias("gram"))
+    rows = rows.withColumn("gram", F.translate("gram", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     return rows.groupBy("block", "gram").agg(F.collect_set("mark").alias("marks"))
 
 

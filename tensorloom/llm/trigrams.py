@@ -91,3 +91,24 @@ def query(pattern: str) -> list[frozenset[str]] | None:
     """The pattern's trigram query, or None where nothing is mandatory."""
     clauses = _walk(_parser.parse(pattern))[1]
     return None if frozenset() in clauses else sorted(clauses, key=sorted)
+
+
+def finder(grams: list[str]) -> str:
+    """A pattern whose first group is, at every place where one starts, one of the trigrams in any case.
+
+    It looks ahead and takes no characters, so overlapping trigrams are all found. Common beginnings
+    are tested once.
+    """
+    either = lambda c: f"[{c}{c.upper()}]" if c != c.upper() else re.escape(c)
+
+    def branch(tails: set[str]) -> str:
+        if tails == {""}:
+            return ""
+        heads: dict[str, set[str]] = {}
+        for t in sorted(tails):
+            heads.setdefault(t[0], set()).add(t[1:])
+        if all(v == {""} for v in heads.values()):
+            return "[" + "".join(re.escape(c) if c == c.upper() else c + c.upper() for c in heads) + "]"
+        return "(?:" + "|".join(either(c) + branch(v) for c, v in heads.items()) + ")"
+
+    return f"(?=({branch(set(grams))}))"

@@ -170,6 +170,16 @@ def test_trigram_queries_are_necessary():
                 assert any(all(g in text.lower() for g in clause) for clause in found)
 
 
+def test_finder_finds_overlapping_trigrams(spark):
+    grams = sorted({g for q in secret_scan.rule_queries().values() for c in q for g in c})
+    rng = random.Random(6)
+    made = ["".join(rng.choice(["secret", "TOKEN", "Api_Key", "akia", "-----begin", "xoxb-", "ghp_", "eyJ", ".eyJ", " ", "é", "x"]) for _ in range(12)) for _ in range(100)]
+    df = spark.createDataFrame([(m,) for m in made], "t string")
+    for r in df.select("t", F.regexp_extract_all("t", F.lit(trigrams.finder(grams)), F.lit(1)).alias("g")).collect():
+        low = r["t"].lower()
+        assert [g.lower() for g in r["g"]] == [low[i : i + 3] for i in range(len(low) - 2) if low[i : i + 3] in grams]
+
+
 def test_bpe(rows, spark):
     from tokenizers import Tokenizer
 
