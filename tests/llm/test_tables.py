@@ -263,9 +263,10 @@ def test_urls(spark):
     assert urlfilter.judge(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("block", [64, 10**6])
+@pytest.mark.parametrize("block", [16, 64, 10**6])
 def test_search(spark, monkeypatch, block):
     monkeypatch.setattr(hamming, "BLOCK_ROWS", block)
+    monkeypatch.setattr(hamming, "BATCH_QUERIES", 2)
     monkeypatch.setattr(hamming, "QUERY_ROWS", 3)
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 2**63, 300, np.int64)
@@ -279,6 +280,11 @@ def test_search(spark, monkeypatch, block):
     for q in range(0, 300, 50):
         assert got[q] == sorted((int(codes[q] ^ c).bit_count() if codes[q] ^ c >= 0 else (int(codes[q] ^ c) & (2**64 - 1)).bit_count(), i) for i, c in enumerate(codes))[:10]
     assert hamming.top_k(df.where("false"), df.where("false")).count() == 0
+    # A third of all rows share one id; fewer rows than k; extra columns.
+    same = spark.createDataFrame([(7, int(c), "x", 1) for c in codes[:40]], "id long, code long, at string, most int")
+    found = [(r["distance"], r["id"]) for r in hamming.top_k(same, same.limit(1), 100).orderBy("rank").collect()]
+    first = same.limit(1).first()["code"]
+    assert found == sorted((int((int(c) ^ first) & (2**64 - 1)).bit_count(), 7) for c in codes[:40])
 
 
 def test_sign_codes(spark):
