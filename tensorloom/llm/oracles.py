@@ -257,51 +257,61 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c FROM r GRO
 def _licenses() -> str:
     from collections import Counter
 
-    from tensorloom.llm.licenses import STOP, TEMPLATES, THRESHOLD, WIDE, tokens
+    from tensorloom.llm.licenses import CLAUSE, NOTICES, STOP, TEMPLATES, THRESHOLD, anchors, tokens
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    bag = ", ".join(f"({i}, {quoted(name)}, {quoted(w)}, {n})" for i, (name, text) in enumerate(TEMPLATES) for w, n in Counter(tokens(text)).items())
+    bag = ", ".join(f"({i}, {quoted(name)}, {len(tokens(text))}, {quoted(w)}, {n})" for i, (name, text) in enumerate(TEMPLATES) for w, n in Counter(tokens(text)).items())
     words = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
     kept = lambda x: f"list_filter({words(x)}, lambda w: NOT list_contains([{', '.join(map(quoted, sorted(STOP)))}], w))"
+    of = lambda w: f"('0x' || substr(md5({w}), 1, 5))::INT"
+    idf = lambda n: f"ln(((SELECT count(*) FROM d) + 1)::DOUBLE / ({n} + 1)) + 1"
     return f"""
-WITH t(i, name, word, n) AS (VALUES {bag}), d AS (
-  SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') AS dir, coalesce(text, '') AS x FROM documents
-), c AS (
-  SELECT count(*) AS docs, ln(count(*) + 1) + 1 AS unseen FROM d
-), f AS (
-  SELECT word, ln((c.docs + 1)::DOUBLE / (count(h.doc_id) + 1)) + 1 AS idf
-  FROM (SELECT DISTINCT word FROM t) LEFT JOIN (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest({words("x")}) AS word FROM d)) h USING (word), c
-  GROUP BY word, c.docs
+WITH t(i, name, len, word, n) AS (VALUES {bag}), an(i, word, place) AS (VALUES {", ".join(f"({i}, {quoted(w)}, {p})" for i, w, p in anchors())}), d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') || '/' || coalesce(lang, '') AS dir, coalesce(text, '') AS x FROM documents
+), k AS (
+  SELECT r, {kept("x")} AS k FROM d
+), df AS (
+  SELECT b, count(*) AS n FROM (SELECT DISTINCT r, {of("word")} AS b FROM (SELECT DISTINCT r, unnest({words("x")}) AS word FROM d)) GROUP BY b
 ), tw AS (
-  SELECT i, name, word, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY i)) AS weight FROM t JOIN f USING (word)
-), lines AS (
-  SELECT doc_id, l, {kept("line")} AS k FROM (
-    SELECT doc_id, unnest(range(1, len(ls) + 1)) AS l, unnest(ls) AS line FROM (SELECT doc_id, string_split(x, chr(10)) AS ls FROM d))
-), units AS (
-  SELECT doc_id, l, a, k[a + 1:a + {WIDE}] AS k FROM (SELECT doc_id, l, k, unnest(range(0, greatest(1, len(k) - {WIDE // 2}), {WIDE // 2})) AS a FROM lines)
-  UNION ALL SELECT doc_id, 0, 0, {kept("x")} FROM d
+  SELECT i, name, len, word, t.n * ({idf("coalesce(df.n, 0)")}) / sqrt(sum((t.n * ({idf("coalesce(df.n, 0)")})) ** 2) OVER (PARTITION BY i)) AS weight
+  FROM (SELECT t.*, {of("word")} AS b FROM t) t LEFT JOIN df USING (b)
+), pos AS (
+  SELECT r, unnest(range(0, len(k))) AS p, unnest(k) AS word FROM k
+), win AS (
+  SELECT DISTINCT pos.r, an.i, pos.p - an.place AS start FROM pos JOIN an ON an.word = pos.word
 ), bag AS (
-  SELECT doc_id, l, a, word, count(*) AS n FROM (SELECT doc_id, l, a, unnest(k) AS word FROM units) GROUP BY doc_id, l, a, word
-), norms AS (
-  SELECT doc_id, l, a, sqrt(sum((n * coalesce(idf, c.unseen)) * (n * coalesce(idf, c.unseen)))) AS norm FROM bag LEFT JOIN f USING (word), c GROUP BY doc_id, l, a
-), cosines AS (
-  SELECT b.doc_id, b.l, b.a, tw.name, round(sum(b.n * f.idf * tw.weight) / any_value(m.norm), 9) AS cosine
-  FROM bag b JOIN f ON f.word = b.word JOIN tw ON tw.word = b.word JOIN norms m ON m.doc_id = b.doc_id AND m.l = b.l AND m.a = b.a
-  GROUP BY b.doc_id, b.l, b.a, tw.i, tw.name
+  SELECT r, i, start, word, count(*) AS n FROM (
+    SELECT w.r, w.i, w.start, unnest(k.k[greatest(w.start, 0) + 1 : w.start + l.len]) AS word FROM win w JOIN k ON k.r = w.r JOIN (SELECT DISTINCT i, len FROM t) l ON l.i = w.i
+  ) GROUP BY ALL
+  UNION ALL SELECT r, -1, 0, word, count(*) FROM pos WHERE r IN (SELECT r FROM win) GROUP BY r, word
+), val AS (
+  SELECT g.*, g.n * ({idf("coalesce(df.n, 0)")}) AS v FROM (SELECT bag.*, {of("word")} AS b FROM bag) g LEFT JOIN df USING (b)
+), norm AS (
+  SELECT r, i, start, sqrt(sum(v * v)) AS norm FROM val GROUP BY ALL
+), cos AS (
+  SELECT val.r, val.i AS of, val.start, tw.i, tw.name, tw.len, round(sum(val.v * tw.weight) / any_value(norm.norm), 9) AS score
+  FROM val JOIN tw ON tw.word = val.word AND (val.i = tw.i OR val.i = -1) JOIN norm ON norm.r = val.r AND norm.i = val.i AND norm.start = val.start GROUP BY ALL
+), hit AS (
+  SELECT * FROM cos WHERE of >= 0 AND score >= {THRESHOLD}
+), whole AS (
+  SELECT DISTINCT r FROM cos WHERE of = -1 AND score >= {THRESHOLD}
 ), best AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, l, a ORDER BY cosine DESC, name) AS nth FROM cosines) WHERE nth = 1
+  SELECT r, name, score, n FROM (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY round(score, 2) DESC, start, len DESC, name, i, score) AS nth FROM hit) JOIN (SELECT r, count(DISTINCT start) AS n FROM hit GROUP BY r) USING (r)
+  WHERE nth = 1
 ), own AS (
-  SELECT doc_id, name, cosine, n FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, name) AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM best WHERE l > 0 AND cosine >= {THRESHOLD}) WHERE place = 1
+  SELECT b.r, b.score, b.n, CASE WHEN b.name = '{CLAUSE[0]}' AND c.r IS NOT NULL THEN '{CLAUSE[2]}' ELSE b.name END AS name,
+         p.n >= 2 OR w.r IS NOT NULL AS whole
+  FROM best b LEFT JOIN (SELECT DISTINCT r FROM hit WHERE i = {CLAUSE[1]}) c ON c.r = b.r
+  LEFT JOIN (SELECT r, name, count(DISTINCT i) AS n FROM hit WHERE i >= {len(NOTICES)} GROUP BY r, name) p ON p.r = b.r AND p.name = b.name LEFT JOIN whole w ON w.r = b.r
 ), givers AS (
   SELECT dir, name FROM (
-    SELECT d.dir, o.name, row_number() OVER (PARTITION BY d.dir ORDER BY o.cosine DESC, d.dir || '/' || d.doc_id || '.txt') AS place
-    FROM own o JOIN d ON d.doc_id = o.doc_id JOIN best b ON b.doc_id = o.doc_id AND b.l = 0 WHERE b.cosine >= {THRESHOLD}) WHERE place = 1
+    SELECT d.dir, o.name, row_number() OVER (PARTITION BY d.dir ORDER BY o.score DESC, d.dir || '/' || d.doc_id || '.txt') AS place FROM own o JOIN d ON d.r = o.r WHERE o.whole) WHERE place = 1
 )
-SELECT d.doc_id, d.dir || '/' || d.doc_id || '.txt' AS path, coalesce(o.name, g.name) AS license, coalesce(o.cosine, 0.0) AS score,
+SELECT d.doc_id, d.dir || '/' || d.doc_id || '.txt' AS path, coalesce(o.name, g.name) AS license, coalesce(o.score, 0.0) AS score,
        CASE WHEN o.name IS NOT NULL THEN 'own' WHEN g.name IS NOT NULL THEN 'inherited' END AS origin, coalesce(o.n, 0)::BIGINT AS notices,
        CASE WHEN o.name IS NULL AND g.name IS NOT NULL THEN g.dir END AS from_dir
-FROM d LEFT JOIN own o ON o.doc_id = d.doc_id LEFT JOIN givers g ON g.dir = d.dir
+FROM d LEFT JOIN own o ON o.r = d.r LEFT JOIN givers g ON g.dir = d.dir
 """
 
 

@@ -308,6 +308,117 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+# Opening sections of public license texts, wrapped as their files are.
+OPENINGS = {
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+  13. Use with the GNU Affero General Public License.""",
+    "GPL-2.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 2, June 1991
+
+ Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+  0. This License applies to any program or other work which contains
+a notice placed by the copyright holder saying it may be distributed
+under the terms of this General Public License.""",
+    "LGPL-3.0": """                   GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+  This version of the GNU Lesser General Public License incorporates
+the terms and conditions of version 3 of the GNU General Public
+License, supplemented by the additional permissions listed below.""",
+    "LGPL-2.1": """                  GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 2.1, February 1999
+
+  This license, the Lesser General Public License, applies to some
+specially designated software packages--typically libraries--of the
+Free Software Foundation and other authors who decide to use it.""",
+    "AGPL-3.0": """                    GNU AFFERO GENERAL PUBLIC LICENSE
+                       Version 3, 19 November 2007
+
+  The GNU Affero General Public License is a free, copyleft license for
+software and other kinds of works, specifically designed to ensure
+cooperation with the community in the case of network server software.""",
+    "Apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+   1. Definitions.
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.""",
+    "MPL-2.0": """Mozilla Public License Version 2.0
+==================================
+
+1.1. "Contributor"
+    means each individual or legal entity that creates, contributes to
+    the creation of, or owns Covered Software.""",
+    "MIT": """Copyright (c) 2020 Some Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal in the Software without restriction
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "ISC": """Copyright 2021 Some Holder
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE""",
+    "BSD-2-Clause": """Copyright (c) 2019, Some Holder
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+}
+OPENINGS["BSD-3-Clause"] = OPENINGS["BSD-2-Clause"] + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize("most", [licenses.BROADCAST_BYTES, -1])
+def test_license_texts(spark, monkeypatch, most):
+    """Whole files are recognised whatever their name, and give their license to their directory."""
+    monkeypatch.setattr(licenses, "BROADCAST_BYTES", most)
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(["some", "other", "prose", "number", "7", "house", "free", "software", "version", "work"]) for _ in range(n))
+    rows = []
+    for name, text in OPENINGS.items():
+        rows += [(f"{name}/legal.txt", text + "\n" + prose(3000)), (f"{name}/src/a.py", "x"), (f"{name}/src/b.py", None)]
+    rows += [(f"hot/{i}.py", "code") for i in range(300)] + [("hot/LICENSE", "# " + OPENINGS["MIT"].replace("\n", "\n# "))]
+    df = spark.createDataFrame([(p, t, p, 1.0, "x") for p, t in rows], "path string, text string, license string, score double, dir string")
+    out = {r["path"]: r for r in licenses.scan(df, keys=("license", "score", "dir")).collect()}
+    for name in OPENINGS:
+        assert out[f"{name}/legal.txt"]["license"] == name and out[f"{name}/legal.txt"]["origin"] == "own", name
+        assert [(out[f"{name}/src/{f}.py"]["license"], out[f"{name}/src/{f}.py"]["from_dir"]) for f in "ab"] == [(name, name)] * 2, name
+    assert all(out[f"hot/{i}.py"]["license"] == "MIT" for i in range(300)) and all(r["license_key"] == p and r["score_key"] == 1.0 and r["dir"] == "x" for p, r in out.items())
+
+
+def test_notices_inside_paragraphs(spark):
+    """What stands around a notice does not count, however common its words and however large the corpus."""
+    rng = random.Random(3)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    rows = [(f"p/{i}", filler(80)) for i in range(500)]
+    rows += [("q/1", f"{filler(30)} Released under the MIT License. {filler(30)}"), ("q/2", f"Released under the MIT License by Ada Holder {filler(4)}"), ("z/3", f"{filler(9)} the license of works {filler(9)}")]
+    # Two licenses in one file tie: the first place counts.
+    rows += [("q/4", "Released under the MIT License. Licensed under the Apache License, Version 2.0."), ("q/5", "Licensed under the Apache License, Version 2.0. Released under the MIT License.")]
+    out = {r["path"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [out[f"q/{i}"] for i in (1, 2, 4, 5)] == ["MIT", "MIT", "MIT", "Apache-2.0"] and out["z/3"] is None
+    assert not any(v for p, v in out.items() if p.startswith("p/"))
+
+
 def test_queries_name_every_operator():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [
         "op1_pii", "op2_sharding", "op3_licenses", "op4_urls", "op5_top_k", "op6_secrets", "op7_jaccard", "op8_bpe", "op9_quality", "op10_mixing",
