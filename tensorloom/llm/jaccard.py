@@ -13,8 +13,9 @@ links. It loses no link between different texts and emits no pairs within a grou
    and group. The prefix of a set of ``n`` are its first ``n - a + l`` tokens in one global order,
    where ``a`` is the least intersection that a link needs and ``l = min(LEAST_SHARED, a)``: two
    linked sets share at least ``l`` prefix tokens. Tokens that more than ``FREQUENT`` documents have
-   in their prefix (passages that many documents share) come last in the order, so they leave the
-   prefixes of all but the texts made of them. The order is a matter of speed, never of the result.
+   in their prefix (passages that many documents share) come last in the order, the more documents
+   the later, so they leave the prefixes of all but the texts made of them, and those keep the rarest
+   of them. The order is a matter of speed, never of the result.
 4. *Bound.* The matrix is joined with itself on the token; groups that share fewer than ``l``
    tokens cannot hold a link and stay closed for each other. The others form clusters. Tokens that
    more than ``HOT`` groups share (near copies by the thousand) give one edge a group to the token's
@@ -26,7 +27,7 @@ links. It loses no link between different texts and emits no pairs within a grou
 
 Scale: the text is scanned twice (order, matrix) without a shuffle; what is shuffled are about 16 %
 of the tokens, as fixed-width rows, and the sets of documents that have a candidate. Broadcasts are
-of counted size: the frequent tokens (``MOST_FREQUENT`` at most; the frequency that counts as
+of counted size: the frequent tokens (``MOST_FREQUENT`` at most, 9 bytes each; the frequency that counts as
 frequent rises until they fit) and lists of copies, groups and candidates up to ``BROADCAST_ROWS``
 rows, beyond which they are joined by shuffles. A cluster of more than ``UNIT_ROWS`` classes or
 ``UNIT_TOKENS`` tokens is cut into blocks and compared by pairs of blocks, each a task of bounded memory.
@@ -56,7 +57,7 @@ LEAST_SHARED = 4
 FREQUENT = 50
 #: A token in more groups than this links them into one cluster instead of giving pairs.
 HOT = 64
-#: Frequent tokens that are broadcast at most (8 bytes each).
+#: Frequent tokens that are broadcast at most (9 bytes each).
 MOST_FREQUENT = 1_000_000
 #: Classes in one group, about.
 GROUP_ROWS = 256
@@ -66,39 +67,84 @@ UNIT_ROWS = 1024
 UNIT_TOKENS = 1_000_000
 #: Rows (under 40 bytes each) of a side that is broadcast at most.
 BROADCAST_ROWS = 500_000
-#: Words whose hash a worker remembers.
-MEMORY = 60_000
+#: Bytes of a text whose words are hashed in one go, and the length beyond which a word is hashed on its own.
+PIECE, LONG_WORD = 1 << 20, 255
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(29)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+class _Powers:
+    """Powers of an odd number and of its inverse by 2**64, and random values for bytes; made once a worker."""
 
-        if len(self) >= MEMORY:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
+    def __init__(self):
+        rng = np.random.Generator(np.random.PCG64(7))
+        self.values = rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        base = 0xD6E8FEB86659FD93
+        run = lambda x: np.concatenate([[np.uint64(1)], np.cumprod(np.full(PIECE, x, np.uint64))])
+        self.up, self.down = run(base), run(pow(base, -1, 2**64))
 
 
-_words = _Words()
+_powers: list[_Powers] = []
+
+
+def word_hashes(raw: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of lower-cased bytes, in order.
+
+    A word's hash is a polynomial in its bytes' values, taken from running sums over the whole piece.
+    Words of more than ``LONG_WORD`` bytes, for which such sums can be made to collide, get another hash.
+    """
+    import xxhash
+
+    p = _powers[0] if _powers else _powers.append(_Powers()) or _powers[0]
+    out, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + PIECE)
+        if end < len(raw):
+            cut = np.flatnonzero(_BLANK[raw[at:end]])
+            if len(cut):
+                end = at + int(cut[-1]) + 1
+            else:  # a word longer than a piece ends at the next blank
+                more = (i for i in range(end, len(raw), PIECE) if _BLANK[raw[i : i + PIECE]].any())
+                first = next(more, None)
+                end = len(raw) if first is None else first + int(np.argmax(_BLANK[raw[first : first + PIECE]]))
+                out.append(np.array([xxhash.xxh64_intdigest(raw[at:end].tobytes())], np.uint64))
+                at = end
+                continue
+        piece = raw[at:end]
+        edge = np.diff(np.concatenate([[True], _BLANK[piece], [True]]).view(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(p.values[piece] * p.up[: len(piece)], out=sums[1:])
+        hashes = (sums[last] - sums[first]) * p.down[first] + (last - first).astype(np.uint64) * _ODD
+        hashes ^= hashes >> np.uint64(32)
+        for i in np.flatnonzero(last - first > LONG_WORD):
+            hashes[i] = xxhash.xxh64_intdigest(piece[first[i] : last[i]].tobytes())
+        out.append(hashes)
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def distinct(tokens: np.ndarray) -> np.ndarray:
+    """The array's values once each, in rising order; sorts it in place."""
+    tokens.sort()
+    return tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])] if len(tokens) else tokens
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The text's distinct shingle hashes, in rising order."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(k, len(words))
-    count = len(words) - n + 1
+    hashes = word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8))
+    if not len(hashes):
+        return hashes
+    n = min(k, len(hashes))
+    count = len(hashes) - n + 1
     out = np.full(count, n, np.uint64)
     for i in range(n):
         out ^= hashes[i : i + count]
         out *= _ODD
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+        out ^= out >> _SHIFT
+    return distinct(out)
 
 
 def needed(n, threshold: int):
@@ -141,26 +187,31 @@ def _prefix_tokens(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "tokens array<bigint>")
 
 
-def _frequent(docs: DataFrame, k: int, threshold: int) -> np.ndarray:
-    """The tokens that come last in the order, sorted; at most ``MOST_FREQUENT``."""
+def _frequent(docs: DataFrame, k: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that come last in the order, sorted, at most ``MOST_FREQUENT``, and the class of each.
+
+    The class is the power of two in the token's number of documents.
+    """
     counts = _prefix_tokens(docs, k, threshold).select(F.explode("tokens").alias("token")).groupBy("token").count()
     counts = written(counts.where(F.col("count") > FREQUENT), "frequent")
     least, left = FREQUENT, counts.count()
     while left > MOST_FREQUENT:
         least *= 2
         left = counts.where(F.col("count") > least).count()
-    found = counts.where(F.col("count") > least).select("token").toPandas()["token"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
+    found = counts.where(F.col("count") > least).select("token", F.floor(F.log2(F.col("count"))).cast("byte").alias("class")).toPandas()
+    tokens = found["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], found["class"].to_numpy(np.int8)[order]
 
 
-def _sketches(docs: DataFrame, frequent: np.ndarray, k: int, threshold: int) -> DataFrame:
+def _sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, threshold: int) -> DataFrame:
     """key, mark, n, digest, least, shared, tokens (the prefix) of each document."""
     import hashlib
 
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = held.value
+        last, classes = held.value
         for batch in _slices(batches):
             key, mark, text = _columns(batch, "key", "mark", "text")
             sets = [shingles(t, k) for t in text.to_pylist()]
@@ -172,7 +223,10 @@ def _sketches(docs: DataFrame, frequent: np.ndarray, k: int, threshold: int) ->
                 rest = s[~often]
                 few = rest[:length]
                 least.append(int((rest if len(rest) else s)[:1].view(np.int64)[0]) if len(s) else None)
-                prefixes.append(few if len(few) == length else np.concatenate([few, s[often][: length - len(few)]]))
+                if len(few) < length:
+                    rarest = np.argsort(classes[at[often]], kind="stable")[: length - len(few)]
+                    few = np.concatenate([few, s[often][rarest]])
+                prefixes.append(few)
                 shared.append(must)
             yield pa.RecordBatch.from_arrays(
                 [

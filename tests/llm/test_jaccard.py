@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,21 @@ def test_keep_one_decides_row_by_row(spark):
         got = [r["mark"] for r in left.collect()]
         assert left.columns == ["doc_id", "text", "mark"]
         assert sorted("i" if m == "j" else m for m in got) == list("acdefhi")
+
+
+def test_word_hashes_tell_words_apart_wherever_they_stand(monkeypatch):
+    monkeypatch.setattr(jaccard, "PIECE", 64)
+    jaccard._powers.clear()
+    rng = random.Random(2)
+    pool = ["a", "b", "ab", "ba", "é", "x" * 300, "x" * 299 + "y", "y" * 63, "y" * 64, "y" * 65, "日本"] + ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    of = {}
+    for _ in range(200):
+        words = [rng.choice(pool) for _ in range(rng.randrange(0, 30))]
+        text = rng.choice(["", " "]) + "".join(w + rng.choice([" ", "\n", "\t ", "  "]) for w in words) + rng.choice(["", "tail"])
+        words = text.split()
+        found = jaccard.word_hashes(np.frombuffer(text.encode(), np.uint8)).tolist()
+        assert len(found) == len(words)
+        for w, h in zip(words, found, strict=True):
+            assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+    jaccard._powers.clear()
