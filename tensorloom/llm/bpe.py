@@ -176,7 +176,9 @@ def _mapped(df: DataFrame, column: str, made: list[tuple[str, T.DataType, pa.Dat
     """``df`` with the columns ``made`` added: ``one(value)`` of each value of ``column``, by Arrow batches."""
     for_workers(df.sparkSession)
     new = [m[0] for m in made]
-    schema = T.StructType([*[f for f in df.schema.fields if f.name not in new], *[T.StructField(n, kind) for n, kind, _ in made]])
+    if taken := sorted(set(new) & set(df.columns)):
+        raise ValueError(f"the input has columns of these names already: {taken}; pass other names for the new ones")
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, kind) for n, kind, _ in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,9 +186,8 @@ def _mapped(df: DataFrame, column: str, made: list[tuple[str, T.DataType, pa.Dat
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 values = [one(x) for x in part.column(part.schema.get_field_index(column)).to_pylist()]
-                names = [n for n in part.schema.names if n not in new]
                 arrays = [pa.array([v[i] for v in values], arrow) for i, (_, _, arrow) in enumerate(made)]
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in names], *arrays], names=[*names, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *new])
 
     return df.mapInArrow(run, schema)
 
@@ -194,7 +195,8 @@ def _mapped(df: DataFrame, column: str, made: list[tuple[str, T.DataType, pa.Dat
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, decoded: str | None = None) -> DataFrame:
     """``df`` with the ids of ``text`` in the binary column ``out``.
 
-    ``decoded`` names a column for the text that the ids decode to, made in the same pass.
+    ``decoded`` names a column for the text that the ids decode to, made in the same pass. Other
+    columns pass through; an input column with the name of a new one is a ValueError, so none is lost.
     """
     path = path or public_vocabulary()
     ids = (out, T.BinaryType(), pa.binary())

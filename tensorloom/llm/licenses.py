@@ -49,7 +49,7 @@ from tensorloom.llm.scratch import for_workers, written
 
 THRESHOLD = 0.6
 #: Buckets of the words' document frequencies.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: Bytes of paths that are broadcast at most; beyond, they are joined by a shuffle of so many salts.
 BROADCAST_BYTES, SALTS = 64 << 20, 16
 #: Words whose bucket a worker remembers.
@@ -119,8 +119,8 @@ def tokens(text: str) -> list[str]:
 
 
 def bucket(word: str) -> int:
-    """The word's bucket: the first 20 bits of its MD5 digest."""
-    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:5], 16)
+    """The word's bucket: the first 18 bits of its MD5 digest."""
+    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:5], 16) >> 2
 
 
 class _Buckets(dict):

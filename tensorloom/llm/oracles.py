@@ -263,7 +263,7 @@ def _licenses() -> str:
     bag = ", ".join(f"({i}, {quoted(name)}, {len(tokens(text))}, {quoted(w)}, {n})" for i, (name, text) in enumerate(TEMPLATES) for w, n in Counter(tokens(text)).items())
     words = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
     kept = lambda x: f"list_filter({words(x)}, lambda w: NOT list_contains([{', '.join(map(quoted, sorted(STOP)))}], w))"
-    of = lambda w: f"('0x' || substr(md5({w}), 1, 5))::INT"
+    of = lambda w: f"(('0x' || substr(md5({w}), 1, 5))::INT >> 2)"
     idf = lambda n: f"ln(((SELECT count(*) FROM d) + 1)::DOUBLE / ({n} + 1)) + 1"
     return f"""
 WITH t(i, name, len, word, n) AS (VALUES {bag}), an(i, word, place) AS (VALUES {", ".join(f"({i}, {quoted(w)}, {p})" for i, w, p in anchors())}), d AS (

@@ -263,6 +263,58 @@ def test_urls(spark):
     assert urlfilter.judge(df.where("false")).count() == 0
 
 
+def plain_score(url, good, bad, order=urlfilter.ORDER):
+    """Witten-Bell from its definition: counts by direct search in the training texts."""
+
+    def log_likelihood(texts):
+        joined, out = [t + "\n" for t in texts], 0.0
+        whole = url + "\n"
+        for i, c in enumerate(whole):
+            p = 1.0 / 65536
+            for n in range(min(i, order) + 1):
+                context = whole[i - n : i]
+                after = [t[j + n] for t in joined for j in range(len(t) - n) if t.startswith(context, j)]
+                if not after:
+                    break
+                kinds = len(set(after))
+                p = (after.count(c) + kinds * p) / (len(after) + kinds)
+            out += math.log(p)
+        return out
+
+    return (log_likelihood(bad) - log_likelihood(good)) / len(url)
+
+
+def test_url_scores_against_plain_counts(spark):
+    rng = random.Random(7)
+    good = [f"site{rng.randrange(5)}.example/{rng.choice('abc')}{rng.randrange(30)}" for _ in range(25)]
+    bad = [f"casino{rng.randrange(5)}.example/win{rng.randrange(9)}" for _ in range(12)]
+    model = urlfilter.Ratio(good, bad)
+    fitted = [x for i, x in enumerate(good) if i % urlfilter.HELD_OUT], [x for i, x in enumerate(bad) if i % urlfilter.HELD_OUT]
+    urls = [good[0], bad[0], "x", "é/日本", "casino1.example/win3" + "/y" * 40, ""]
+    df = spark.createDataFrame([(i, "HTTP://" + u.upper() if i == 1 else "http://" + u) for i, u in enumerate(urls)] * 2, "page_id long, url string")
+    out = urlfilter.judge(df, model=model, rules=()).collect()
+    assert len(out) == 2 * len(urls)
+    for r in out:
+        u = urls[r["page_id"]]
+        if not u:
+            assert r["score"] is None and r["verdict"] == "allow"
+            continue
+        assert r["score"] == pytest.approx(plain_score(u, *fitted), abs=1e-9)
+        assert r["verdict"] == ("block" if r["score"] > model.threshold else "allow")
+
+
+def test_url_models_find_held_out_rejected_urls(spark):
+    rng = random.Random(11)
+    good = [f"http://{rng.choice(['news', 'blog', 'www'])}.site{rng.randrange(40)}.example/{rng.randrange(9999)}" for _ in range(800)]
+    bad = [f"http://{rng.choice(['poker', 'spam'])}-{rng.choice(['win', 'max', 'top'])}{rng.randrange(40)}.example/offer?id={rng.randrange(9999)}" for _ in range(400)]
+    long_ = ["http://site1.example/" + "a1/" * 3000, "http://spam-max.example/offer?id=" + "7" * 9000]
+    df = spark.createDataFrame([(i, u, i >= 800) for i, u in enumerate(good + bad)] + [(9000 + i, u, None) for i, u in enumerate(long_)], "page_id long, url string, bad boolean")
+    for label in (None, F.col("bad")):
+        assert urlfilter.fit(df, label).recall > 0.95
+    out = {r["page_id"]: r["verdict"] for r in urlfilter.judge(df.unionByName(df.limit(3))).collect()}
+    assert out[9001] == "block" and len(out) == 1202
+
+
 @pytest.mark.parametrize("block", [16, 64, 10**6])
 def test_search(spark, monkeypatch, block):
     monkeypatch.setattr(hamming, "BLOCK_ROWS", block)
@@ -426,27 +478,51 @@ def test_queries_name_every_operator():
 
 
 def test_pipeline(spark, sf_dir):
+    """Every stage against its operator's plain result: the rows that stay, their texts and their copies."""
     from tokenizers import Tokenizer
 
     from tensorloom.llm import bpe, pii, quality
 
     docs = spark.read.parquet(sf_dir.replace("sf0.01", "sf0.001") + "/documents.parquet")
-    before = {r["doc_id"]: r["text"] for r in docs.collect()}
-    held = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    long_ = " ".join(f"word{i % 7919}x{i}" for i in range(40_000)) + " mail a.b@c.org"
+    extra = [(9001, None, "en", "src1", 0), (9002, long_, None, None, len(long_)), (9003, "", "en", None, 0), (None, long_.replace("word5x", "other5x"), "en", "src1", None)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id = 9002"))
+    held, want = docs, docs
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         held = stage(spark, held, sf_dir)
         assert held.columns == docs.columns, name
-        held = spark.createDataFrame(held.collect(), docs.schema)
-    kept = {r["doc_id"] for r in quality.keep(docs).collect()}
-    found = {r["doc_id"]: r["component_id"] for r in jaccard.join(quality.keep(docs), k=5, threshold=80).collect()}
-    assert kept <= set(before) and {r["doc_id"] for r in held.collect()} <= {i for i, c in found.items() if i == c}
+        rows = held.collect()
+        before = want.collect()
+        if n == 0:
+            good = {r["doc_id"] for r in quality.ledger(want).where(quality.passes()).collect()}
+            expected = [r for r in before if r["doc_id"] in good]
+            assert good and len(expected) < len(before)
+        elif n == 1:
+            numbered = spark.createDataFrame([(i, r["text"]) for i, r in enumerate(before)], "doc_id long, text string")
+            of = {r["doc_id"]: r["component_id"] for r in jaccard.join(numbered, k=5, threshold=80).collect()}
+            groups = defaultdict(list)
+            for i, r in enumerate(before):
+                groups[of[i]].append(r)
+            expected = [min(g, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, hashlib.md5(r["text"].encode()).hexdigest())) for g in groups.values()]
+            assert len(expected) < len(before)
+        elif n == 2:
+            masked = {r["doc_id"]: r["text"] for r in pii.redact(want).collect()}
+            expected = [docs.sparkSession.createDataFrame([(*[r[c] for c in ("doc_id",)], masked[r["doc_id"]], r["lang"], r["source"], r["n_chars"] if masked[r["doc_id"]] == r["text"] else len(masked[r["doc_id"]]))], docs.schema).first() for r in before[:5]]
+            assert {r["doc_id"]: r["text"] for r in rows} == masked and all(r in rows for r in expected)
+            expected = rows
+        else:
+            times = {r["key"]: r["copies"] for r in mixing.mix(want.select(F.col("doc_id").alias("key"), "text", "source"), key="key").collect()}
+            expected = [r for r in before for _ in range(times[r["doc_id"]])]
+            assert max(times.values()) <= mixing.CAP and any(c > 1 for c in times.values())
+        assert Counter(map(tuple, rows)) == Counter(map(tuple, expected)), name
+        held = want = spark.createDataFrame(rows, docs.schema)
     library = Tokenizer.from_file(bpe.public_vocabulary())
-    text = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    texts = Counter((r["doc_id"], r["text"]) for r in held.collect())
     out = corpus_pipeline.STAGES[-1][1](spark, held, sf_dir).collect()
-    assert len(out) == held.count()
-    for r in out:
-        ids = library.encode(text[r["doc_id"]], add_special_tokens=False).ids
-        assert r["intact"] and bytes(r["ids"]) == b"".join(i.to_bytes(4, "little") for i in ids) and r["n_tokens"] == len(ids)
+    ids = {k: b"".join(i.to_bytes(4, "little") for i in library.encode(k[1], add_special_tokens=False).ids) for k in texts}
+    assert Counter((r["doc_id"], bytes(r["ids"]), r["n_tokens"]) for r in out) == Counter({(k[0], ids[k], len(ids[k]) // 4): n for k, n in texts.items()})
+    assert all(r["intact"] for r in out)
 
 
 def test_stages_on_an_empty_table(spark, sf_dir):

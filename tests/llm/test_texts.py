@@ -194,3 +194,5 @@ def test_bpe(rows, spark):
     assert bpe.encode(df.where("false")).count() == 0
     once = bpe.encode(df, decoded="back")
     assert once.columns == [*df.columns, "ids", "back"] and once.where(F.col("back") != F.coalesce("text", F.lit(""))).count() == 0
+    with pytest.raises(ValueError, match="ids"):
+        bpe.encode(df.withColumn("ids", F.lit(1)))
