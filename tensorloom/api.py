@@ -34,7 +34,7 @@ def pack(
     tensor, comes to the driver, which writes its footer.
     """
     if align_bytes < 0:
-        raise ValueError("align_bytes must not be negative")
+        raise ValueError(f"an alignment of {align_bytes} bytes is below zero")
     spark = register(tensors.sparkSession)
     rows = predicates.keep(tensors, ignore_names, ignore_prefixes, ignore_suffixes)
     rows = rows if "ord" in rows.columns else rows.withColumn("ord", F.col("name"))
@@ -53,11 +53,11 @@ def _write(spark, rows: DataFrame, index: DataFrame, chunked: bool, destination:
     blocks = layout.blocks(index, align_bytes)
     found = blocks.orderBy("macroblock").collect()
     if not found:
-        raise ValueError("No tensors to pack.")
+        raise ValueError("no tensor is left to pack")
     planned = [Block(b["macroblock"], dtype(b["dtype"]).name, b["offset_bytes"], b["length_bytes"], b["length_elems"]) for b in found]
     size = max(b.offset_bytes + b.length_bytes for b in planned)
     if not size:
-        raise ValueError("Nothing to pack after alignment.")
+        raise ValueError("the tensors to pack hold no bytes")
     entries = [Entry(r["name"], tuple(r["shape"]), r["offset"], r["length"], r["macroblock"]) for r in index.orderBy("macroblock", "rank").collect()]
     footer = container.footer_json(planned, entries, align_bytes, signature)
     wanted = F.col("dtype") if target_dtype is None else F.lit(dtype(target_dtype).name)
@@ -114,13 +114,19 @@ def default_destination(source: str, target_extension: str) -> str:
     return (base if ext else source) + target_extension
 
 
+def _same(a: str, b: str) -> bool:
+    """Whether two local paths or URIs name one file."""
+    plain = lambda p: p.rstrip("/") if "://" in p else os.path.abspath(p)
+    return plain(a) == plain(b)
+
+
 def convert(spark: SparkSession, source: str, destination: str | None = None, target_dtype: str | None = None, **options) -> str:
     """A tensor file (``.safetensors``) or Parquet table of tensors as a container."""
     from tensorloom.sources import safetensors
 
     destination = destination or default_destination(source.rstrip("/"), ".pack")
-    if os.path.abspath(destination) == os.path.abspath(source):
-        raise ValueError("The destination is the source; it would be overwritten.")
+    if _same(destination, source):
+        raise ValueError(f"{destination} would be written over its own source")
     if source.endswith((".pt", ".pth", ".bin", ".ckpt")):
         raise ValueError("Pickled checkpoints can't be read; convert them to safetensors first.")
     rows = safetensors.read(spark, source) if source.endswith(".safetensors") else spark.read.parquet(source)
@@ -133,8 +139,8 @@ def revert(spark: SparkSession, source: str, destination: str | None = None, **o
     from tensorloom.sources import safetensors
 
     destination = destination or default_destination(source, ".safetensors")
-    if os.path.abspath(destination) == os.path.abspath(source):
-        raise ValueError("The destination is the source; it would be overwritten.")
+    if _same(destination, source):
+        raise ValueError(f"{destination} would be written over its own source")
     rows = tensors(spark, source, **options)
     if destination.endswith(".safetensors"):
         safetensors.write(rows, destination)

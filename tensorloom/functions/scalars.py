@@ -104,6 +104,28 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]*)$", 1)
 
 
+def without_class_prefix(name: Column, prefixes: tuple[str, ...] = ("Flax", "TF")) -> Column:
+    """A class name without the first of the prefixes that it begins with."""
+    return F.regexp_replace(name, "^(?:" + "|".join(prefixes) + ")", "")
+
+
+def reference(ref: Column) -> Column:
+    """``repository--module.Class`` as a struct; without ``--`` the repository is null."""
+    parts = F.split(ref, "--", 2)
+    rest = F.element_at(parts, -1)
+    return F.struct(F.when(F.size(parts) > 1, parts[0]).alias("repository"), parent(rest).alias("module"), leaf(rest).alias("class_name"))
+
+
+def decimal_gb_per_second(n_bytes: Column, seconds: Column) -> Column:
+    """Throughput in units of 1000**3 bytes."""
+    return n_bytes / seconds / F.lit(1e9)
+
+
+def close_excess(a: Column, b: Column, atol: float, rtol: float) -> Column:
+    """By how much two numbers are further apart than ``atol + rtol * |b|``; 0 or less where they are close."""
+    return F.abs(a - b) - (F.lit(atol) + F.lit(rtol) * F.abs(b))
+
+
 def last_segment(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

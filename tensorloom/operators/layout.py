@@ -125,7 +125,7 @@ def located(index: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     b = blocks.select(F.col("path").alias("p"), F.col("macroblock").alias("m"), F.col("dtype").alias("block_dtype"), F.col("offset_bytes").alias("block_start"))
     both = index.join(b, (F.col("path") == F.col("p")) & (F.col("macroblock") == F.col("m")), "left").drop("p", "m")
-    message = F.concat(F.lit("Index entry references macroblock "), F.col("macroblock").cast("string"), F.lit(", which does not exist."))
+    message = F.concat(F.lit("tensor "), F.col("name"), F.lit(" is said to be in block "), F.col("macroblock").cast("string"), F.lit(", which its file lacks"))
     known = F.when(F.col("block_start").isNull(), F.raise_error(message).cast("bigint")).otherwise(F.col("block_start"))
     size = _lookup(F.col("block_dtype"), lambda d: d.size)
     return both.withColumn("start_byte", known + F.col("offset") * size).withColumn("end_byte", known + (F.col("offset") + F.col("length")) * size).drop("block_start")

@@ -57,3 +57,14 @@ def picked(options: Column, keys: Sequence[str]) -> Column:
 def dropped(options: Column, keys: Sequence[str]) -> Column:
     """An option map without the listed keys."""
     return F.map_filter(options, lambda k, _: ~k.isin(*keys)) if keys else options
+
+
+def with_device(components: DataFrame, devices: DataFrame, default: str | None = None) -> DataFrame:
+    """``components(name, ...)`` with the device of ``devices(name, device)``, else ``default`` (null if none)."""
+    placed = devices.groupBy("name").agg(F.min("device").alias("device"))
+    return components.join(placed, "name", "left").withColumn("device", F.coalesce("device", F.lit(default).cast("string")))
+
+
+def first_set(*values: Column) -> Column:
+    """The first value that is neither null nor 0: settings, then the environment's, then a default."""
+    return F.coalesce(*[F.when(v != 0, v) for v in values[:-1]], values[-1])

@@ -79,21 +79,21 @@ def policy_matrix(status: DataFrame) -> DataFrame:
     return every.select(*grid.columns, outcome(F.col("strict"), F.col("strict_params"), F.col("strict_buffers"), F.col("coerce_dtype"), F.col).alias("outcome"))
 
 
+def _offenders(result: str) -> Column:
+    """The rows at fault for an outcome."""
+    if result == "buffer_dtype_mismatch":
+        return F.col("dtype_mismatch") & (F.col("kind") == "buffer")
+    wanted = {"discarded": "discarded", "missing_both": "missing_", "missing_params": "missing_param", "missing_buffers": "missing_buffer"}[result]
+    return F.col("status").startswith(wanted)
+
+
 def enforce(status: DataFrame, policy: Policy = Policy()) -> dict:
-    """The counts, or a ValueError that names the offenders (the first 20 of each kind)."""
-    c = counts(status).first().asDict()
-    some = lambda s: [r["name"] for r in status.where(F.col("status") == s).orderBy("name").limit(20).collect()]
-    if c["buffer_mismatches"] and not policy.coerce_dtype:
-        raise ValueError(f"dtype mismatch for {c['buffer_mismatches']} buffers")
-    if policy.strict or policy.strict_params or policy.strict_buffers:
-        if c["discarded"]:
-            raise ValueError(f"Could not assign {c['discarded']} names: {some('discarded')}")
-        params = c["missing_params"] and (policy.strict_params if policy.strict is None else policy.strict)
-        buffers = c["missing_buffers"] and (policy.strict_buffers if policy.strict is None else policy.strict)
-        if params and buffers:
-            raise ValueError(f"Missing {c['missing_params']} parameters and {c['missing_buffers']} buffers: {some('missing_param')} {some('missing_buffer')}")
-        if params:
-            raise ValueError(f"Missing {c['missing_params']} parameters: {some('missing_param')}")
-        if buffers:
-            raise ValueError(f"Missing {c['missing_buffers']} buffers: {some('missing_buffer')}")
-    return c
+    """The counts, or a ValueError with the policy's :func:`outcome` and the first 20 rows at fault."""
+    flag = lambda x: F.lit(x).cast("boolean")
+    result = outcome(flag(policy.strict), flag(policy.strict_params), flag(policy.strict_buffers), flag(policy.coerce_dtype), F.col)
+    found = counts(status).withColumn("outcome", result).first().asDict()
+    refused = found.pop("outcome")
+    if refused == "ok":
+        return found
+    rows = status.where(_offenders(refused)).orderBy("status", "name").limit(20).collect()
+    raise ValueError(f"load refused ({refused}): " + "; ".join(f"{r['name']} {r['status']}" for r in rows))

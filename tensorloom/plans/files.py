@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom import api
-from tensorloom.functions import codecs
+from tensorloom.functions import codecs, scalars
 from tensorloom.functions.dtypes import DTYPES
 from tensorloom.shipping import run_dir, ship
 from tensorloom.sources import container
@@ -100,10 +100,23 @@ def roundtrip_equal(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), F.count_if(equal).alias("n_equal"))
 
 
+@query("SELECT dtype, (SELECT count(*) FROM embeddings) AS n, (SELECT count(*) FROM embeddings) AS n_close FROM (SELECT unnest(['bfloat16', 'float16']) AS dtype)")
+def roundtrip_close(spark, sf_dir):
+    """Vectors cast to a narrow type and back: every number is close to its own by that type's tolerance."""
+    ship(spark)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("x"))
+    parts = []
+    for dtype, rtol in (("bfloat16", 2.0**-8), ("float16", 2.0**-11)):
+        back = F.pandas_udf(lambda xs, d=dtype: pd.Series([codecs.decode(codecs.encode(x, d), d).astype("float32") for x in xs]), "array<float>")
+        excess = F.transform(F.arrays_zip(back("x").alias("b"), F.col("x").alias("a")), lambda p: scalars.close_excess(p["b"], p["a"], 1e-6, rtol))
+        parts.append(vectors.select(F.lit(dtype).alias("dtype"), (F.array_max(excess) <= 0).alias("close")))
+    return parts[0].unionByName(parts[1]).groupBy("dtype").agg(F.count("*").alias("n"), F.count_if("close").alias("n_close"))
+
+
 @query(
-    "SELECT 'good.pack' AS file, true AS is_valid, NULL AS fault UNION ALL SELECT 'magic.pack', false, 'Bad magic' UNION ALL SELECT 'short.pack', false, 'File too small' "
-    "UNION ALL SELECT 'length.pack', false, 'Corrupt footer length' UNION ALL SELECT 'format.pack', false, 'Unexpected format' UNION ALL SELECT 'blocks.pack', false, 'Missing macroblock metadata' "
-    "UNION ALL SELECT 'range.pack', false, 'Index entry references macroblock'"
+    "SELECT 'good.pack' AS file, true AS is_valid, NULL AS fault UNION ALL SELECT 'magic.pack', false, 'not signed' UNION ALL SELECT 'short.pack', false, 'less than the end' "
+    "UNION ALL SELECT 'length.pack', false, 'begin before the file' UNION ALL SELECT 'format.pack', false, 'no container format' UNION ALL SELECT 'blocks.pack', false, 'lists none' "
+    "UNION ALL SELECT 'range.pack', false, 'said to be in block'"
 )
 def container_validity(spark, sf_dir):
     """A folder of good and faulty files, read permissively."""
@@ -127,7 +140,7 @@ def container_validity(spark, sf_dir):
         with system.open_output_stream(f"{inner}/{name}.pack") as f:
             f.write(raw)
     meta = api.read(spark, home, "meta", mode="permissive")
-    fault = F.regexp_extract("error", "^(Bad magic|File too small|Corrupt footer length|Unexpected format|Missing macroblock metadata|Index entry references macroblock)", 1)
+    fault = F.regexp_extract("error", "(not signed|less than the end|begin before the file|no container format|lists none|said to be in block)", 1)
     return meta.select(F.element_at(F.split("path", "/"), -1).alias("file"), "is_valid", F.when(F.col("error").isNotNull(), fault).alias("fault"))
 
 

@@ -498,3 +498,36 @@ def option_projection(spark, sf_dir):
     text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     options = events.select("event_id", F.map_concat(own, user).alias("o"))
     return options.select("event_id", text(manifest.picked(F.col("o"), ["k", "absent"])).alias("picked"), text(manifest.dropped(F.col("o"), ["k", "absent"])).alias("dropped"))
+
+
+@query(
+    r"""SELECT p_partkey, regexp_replace(cls, '^(?:Flax|TF)', '') AS plain, CASE WHEN contains(ref, '--') THEN split_part(ref, '--', 1) END AS repository,
+      regexp_replace(regexp_extract(ref, '^(?:.*?--)?(.*)$', 1), '\.[^.]*$', '') AS module, regexp_extract(ref, '[^.]*$') AS class_name
+    FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Flax' WHEN 1 THEN 'TF' ELSE '' END || replace(p_type, ' ', '') AS cls,
+      CASE WHEN p_partkey % 2 = 0 THEN 'org/' || p_size || '--' ELSE '' END || 'mod.sub.' || replace(p_brand, '#', '') AS ref FROM part)"""
+)
+def class_references(spark, sf_dir):
+    """Class names without their prefix, and references split into repository, module and class."""
+    key, brand = F.col("p_partkey"), F.translate("p_brand", "#", "")
+    prefix = F.when(key % 3 == 0, F.lit("Flax")).when(key % 3 == 1, F.lit("TF")).otherwise(F.lit(""))
+    repository = F.when(key % 2 == 0, F.concat(F.lit("org/"), F.col("p_size").cast("string"), F.lit("--"))).otherwise(F.lit(""))
+    ref = scalars.reference(F.concat(repository, F.lit("mod.sub."), brand))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", scalars.without_class_prefix(F.concat(prefix, F.translate("p_type", " ", ""))).alias("plain"), ref["repository"].alias("repository"), ref["module"].alias("module"), ref["class_name"].alias("class_name"))
+
+
+@query("SELECT o_orderpriority, min(n) AS least, max(n) AS most FROM (SELECT o_orderpriority, round(o_custkey * 1000.0::DOUBLE / (1 + o_orderkey % 7) / 1e9, 12) AS n FROM orders) GROUP BY o_orderpriority")
+def decimal_throughput(spark, sf_dir):
+    """Rates in decimal gigabytes, beside the binary ones of ``bench_stats``."""
+    rate = F.round(scalars.decimal_gb_per_second(F.col("o_custkey") * F.lit(1000.0), 1 + F.col("o_orderkey") % 7), 12)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority", rate.alias("n"))
+    return orders.groupBy("o_orderpriority").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+@query("SELECT name, coalesce(CASE name WHEN 'src1' THEN 'gpu:0' WHEN 'src2' THEN 'gpu:1' END, 'cpu') AS device, CASE WHEN length(name) % 2 = 0 THEN 8 ELSE length(name) END::INT AS workers FROM (SELECT DISTINCT source AS name FROM documents)")
+def component_devices(spark, sf_dir):
+    """A component to device map with a default, and a fallback chain in which 0 counts as unset."""
+    names = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("name")).distinct()
+    devices = spark.createDataFrame([("src1", "gpu:0"), ("src2", "gpu:1"), ("gone", "gpu:2")], "name string, device string")
+    own = F.when(F.length("name") % 2 == 0, F.lit(0)).otherwise(F.length("name"))
+    return manifest.with_device(names, devices, "cpu").withColumn("workers", manifest.first_set(own, F.lit(None).cast("int"), F.lit(8)))

@@ -154,21 +154,24 @@ class IndexReader(_Reader):
 
 
 class ChunkReader(_Reader):
-    """Payload chunks; a task gets ranges of one file that add up to a few chunks."""
+    """Payload chunks; a task gets ranges of one file that add up to a few chunks.
+
+    Of few files the driver reads the footers, to split large ones; many files are one task each,
+    which reads its own footer, so the driver's work does not grow with their content.
+    """
+
+    MANY = 64
 
     def partitions(self):
+        paths = files(self.options["path"])
+        if len(paths) >= self.MANY:
+            return [Split(p) for p in paths]
         out = []
-        for path in files(self.options["path"]):
-            f = container.read_footer(path, self.signature)
-            container.check_alignment(f)  # of all rows, ignored ones too
-            share = min(max(CHUNK_FLOOR, f.total_payload_bytes // CHUNK_GOAL), CHUNK_CAP)
-            most = int(self.options.get("chunk_bytes") or share)
-            kept = sorted((e for e in f.index if self.keeps(e)), key=lambda e: (f.blocks[e.macroblock].offset_bytes, e.offset))
+        for path in paths:
             held, size = [], 0
-            counts = {(e.macroblock, e.name, e.offset): c + 1 for e, _, c, _, _ in container.ranges(f, kept, most)}
-            for e, d, chunk, start, n in container.ranges(f, kept, most):
-                held.append((e.macroblock, d, e.name, self.shape(e), e.length, chunk, counts[e.macroblock, e.name, e.offset], start, n))
-                size += n
+            for piece, most in self.planned(path):
+                held.append(piece)
+                size += piece[-1]
                 if size >= max(most, CHUNK_CAP):
                     out.append(Split(path, held))
                     held, size = [], 0
@@ -176,6 +179,18 @@ class ChunkReader(_Reader):
                 out.append(Split(path, held))
         return out
 
+    def planned(self, path: str) -> Iterator[tuple[tuple, int]]:
+        """(block, dtype, name, shape, length, chunk, chunks, start, bytes) of a file's chunks, and the most bytes of one."""
+        f = container.read_footer(path, self.signature)
+        container.check_alignment(f)  # of all rows, ignored ones too
+        share = min(max(CHUNK_FLOOR, f.total_payload_bytes // CHUNK_GOAL), CHUNK_CAP)
+        most = int(self.options.get("chunk_bytes") or share)
+        kept = sorted((e for e in f.index if self.keeps(e)), key=lambda e: (f.blocks[e.macroblock].offset_bytes, e.offset))
+        for e in kept:
+            own = list(container.ranges(f, [e], most))
+            for _, d, chunk, start, n in own:
+                yield (e.macroblock, d, e.name, self.shape(e), e.length, chunk, len(own), start, n), most
+
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         file, _ = container.open_input(split.path)
         schema = pa.schema(
@@ -183,7 +198,8 @@ class ChunkReader(_Reader):
         )
         with file:
             rows, size = [], 0
-            for block, d, name, shape, length, chunk, n_chunks, start, n in split.ranges:
+            ranges = split.ranges if split.ranges is not None else (piece for piece, _ in self.planned(split.path))
+            for block, d, name, shape, length, chunk, n_chunks, start, n in ranges:
                 file.seek(start)
                 raw = file.read(n)
                 if len(raw) != n:
@@ -242,27 +258,30 @@ class Placed(WriterCommitMessage):
 class PackWriter(DataSourceWriter):
     """Writes ``(start_byte, payload)`` rows of a planned file; places count from after ``head``.
 
-    Each task writes one part file beside the destination and remembers where its pieces belong.
-    ``commit`` streams the parts into a temporary file at their places, appends the planned footer
-    and publishes by renaming, so a reader sees the old file or the new one and a lost task leaves
-    nothing but a part that is removed. On object stores the rename is a copy.
+    Each task writes one part file into a folder of this write beside the destination and remembers
+    where its pieces belong. ``commit`` streams the parts into a file of that folder at their places,
+    appends the planned footer and publishes by renaming, so a reader sees the old file or the new one.
+    The folder goes at the end with whatever failed or speculative attempts left in it; two writers of
+    one destination don't meet. On object stores the rename is a copy.
     """
 
     def __init__(self, options):
+        import uuid
+
         self.path, self.size = options["path"], int(options["payload_bytes"])
         self.head, self.footer = bytes.fromhex(options.get("head") or ""), bytes.fromhex(options.get("footer") or "")
+        self.run = uuid.uuid4().hex
 
-    @staticmethod
-    def _place(path: str):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    def _place(self) -> tuple:
+        system, inner = container.file_system(self.path)
+        return system, inner, f"{inner}.write-{self.run}"
 
     def write(self, iterator) -> Placed:
         import uuid
 
-        system, inner = self._place(self.path)
-        part, pieces, at = f"{inner}.part-{uuid.uuid4().hex}", [], 0
+        system, _, folder = self._place()
+        system.create_dir(folder, recursive=True)
+        part, pieces, at = f"{folder}/{uuid.uuid4().hex}", [], 0
         with system.open_output_stream(part) as out:
             for row in iterator:
                 raw = bytes(row["payload"])
@@ -276,12 +295,12 @@ class PackWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         import heapq
 
-        system, inner = self._place(self.path)
-        temporary = f"{inner}.tmp"
+        system, inner, folder = self._place()
+        system.create_dir(folder, recursive=True)
         done = [m for m in messages if m is not None]
         opened = {m.part: system.open_input_file(m.part) for m in done}
         try:
-            with system.open_output_stream(temporary) as out:
+            with system.open_output_stream(f"{folder}/whole") as out:
                 out.write(self.head)
                 at = 0
                 for start, part, offset, n in heapq.merge(*[sorted((s, m.part, o, n) for s, o, n in m.pieces) for m in done]):
@@ -297,20 +316,18 @@ class PackWriter(DataSourceWriter):
                     raise ValueError(f"{at} payload bytes, planned {self.size}")
                 out.write(b"\0" * (self.size - at))
                 out.write(self.footer)
-            system.move(temporary, inner)
+            system.move(f"{folder}/whole", inner)
         finally:
             for f in opened.values():
                 f.close()
             self.abort(messages)
 
     def abort(self, messages) -> None:
-        system, _ = self._place(self.path)
-        for m in messages:
-            if m is not None:
-                try:
-                    system.delete_file(m.part)
-                except OSError:
-                    pass  # gone already
+        system, _, folder = self._place()
+        try:
+            system.delete_dir(folder)
+        except OSError:
+            pass  # no task had begun
 
 
 class PackSource(_Source):

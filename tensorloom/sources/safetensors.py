@@ -29,10 +29,10 @@ def header(path: str) -> tuple[dict, int]:
     file, size = open_input(path)
     with file:
         if size < LENGTH.size:
-            raise ValueError("File too small to contain a header")
+            raise ValueError(f"{path}: {size} bytes, less than a header's length field")
         (n,) = LENGTH.unpack(file.read(LENGTH.size))
         if n > size - LENGTH.size:
-            raise ValueError("Corrupt header length")
+            raise ValueError(f"{path}: a header of {n} bytes would end beyond the file")
         found = json.loads(file.read(n).decode("utf-8"))
     found.pop("__metadata__", None)
     return found, LENGTH.size + n

@@ -43,9 +43,9 @@ def test_one_type_is_version_3(spark, tmp_path):
     assert footer.format.endswith("_v3") and footer.target_dtype == "bfloat16" and list(footer.raw) == ["format", "target_dtype", "align_bytes", "total_elems", "index"]
     got = {r["name"]: codecs.decode(r["payload"], r["dtype"]).tolist() for r in api.tensors(spark, path).collect()}
     assert got == {"a": [1, 2, 3], "b": [7, 8]}
-    with pytest.raises(ValueError, match="No tensors"):
+    with pytest.raises(ValueError, match="no tensor is left"):
         api.pack(df.where("false"), path)
-    with pytest.raises(ValueError, match="Nothing to pack"):
+    with pytest.raises(ValueError, match="hold no bytes"):
         api.pack(spark.createDataFrame([("a", "int8", [0], b"", 0)], T), path)
 
 
@@ -69,7 +69,7 @@ def test_other_signature(spark, tmp_path):
     _, df = sample(spark)
     path = f"{tmp_path}/x.pack"
     api.pack(df, path, signature=Signature(b"OTHERPK\0", "other"))
-    with pytest.raises(ValueError, match="Bad magic"):
+    with pytest.raises(ValueError, match="not signed"):
         container.read_footer(path)
     assert api.read(spark, path, "index", magic="OTHERPK", prefix="other").count() == 24
 
@@ -80,8 +80,8 @@ def test_faulty_footers(tmp_path, spark):
     entry = {"name": "x", "shape": [1], "offset": 1, "length": 1}
     pack = lambda m: b"\0" * 300 + container.trailer(json.dumps(m).encode())
     cases = {
-        "File too small": b"x" * 15, "Bad magic": b"x" * 40, "Corrupt footer length": container.LENGTH.pack(10**6) + container.MAGIC, "Expecting": container.trailer(b"{no"),
-        "Unexpected format": pack({"format": "x"}), "Missing macroblock": pack(v4), "macroblock 99": pack({**v4, "macroblocks": block, "index": [{**entry, "macroblock": 99}]}),
+        "less than the end": b"x" * 15, "not signed": b"x" * 40, "begin before": container.LENGTH.pack(10**6) + container.MAGIC, "Expecting": container.trailer(b"{no"),
+        "no container format": pack({"format": "x"}), "lists none": pack(v4), "in block 99": pack({**v4, "macroblocks": block, "index": [{**entry, "macroblock": 99}]}),
         "Unsupported dtype": pack({**v4, "macroblocks": [{**block[0], "dtype": "what"}]}),
     }
     for i, (said, raw) in enumerate(cases.items()):
@@ -95,7 +95,7 @@ def test_faulty_footers(tmp_path, spark):
     # Alignment is checked for all rows, ignored ones too.
     off = tmp_path / "off.pack"
     off.write_bytes(pack({**v4, "macroblocks": block, "index": [{**entry, "name": n} for n in "abcde"]}))
-    with pytest.raises(Exception, match="5 misaligned tensors: a, b, c"):
+    with pytest.raises(Exception, match="5 tensors are off their alignment, the first a, b, c"):
         api.read(spark, str(off), ignore_names=list("abcde")).count()
 
 
@@ -104,16 +104,16 @@ def test_assign(spark, tmp_path):
     api.pack(sample(spark)[1], path)
     want = [(f"m.{d.name}", "param", d.name) for d in DTYPES[:5]] + [("é.日", "buffer", "int32"), ("scalar", "buffer", "float32"), ("gone", "buffer", "int8")]
     expected = spark.createDataFrame(want, "name string, kind string, dtype string")
-    with pytest.raises(ValueError, match="dtype mismatch for 1 buffers"):
+    with pytest.raises(ValueError, match="buffer_dtype_mismatch.*日"):
         api.assign(spark, path, expected)
-    with pytest.raises(ValueError, match="Could not assign"):
+    with pytest.raises(ValueError, match="refused .discarded"):
         api.assign(spark, path, expected, Policy(strict=False, coerce_dtype=True))
     rest = {"ignore_names": ["none"] + [f"m.{d.name}" for d in DTYPES[5:]]}
     rows, counts = api.assign(spark, path, expected, Policy(coerce_dtype=True), **rest)
     assert counts["assigned_params"] == 5 and counts["assigned_buffers"] == 2 and counts["missing_buffers"] == 1
     coerced = rows.where("name = 'é.日'").first()
     assert coerced["dtype"] == "int32" and codecs.decode(coerced["payload"], "int32").tolist() == list(range(6))
-    with pytest.raises(ValueError, match="Missing 1 buffers"):
+    with pytest.raises(ValueError, match="missing_buffers.*gone"):
         api.assign(spark, path, expected, Policy(strict=True, coerce_dtype=True), **rest)
 
 
