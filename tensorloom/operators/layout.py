@@ -1,9 +1,9 @@
 """The aligned layout of a container, planned as DataFrames over index rows.
 
 ``tensors(path, name, dtype, shape, ord)`` is all that a plan needs; payloads never take part. A
-tensor's offset is a prefix sum of aligned lengths inside (path, dtype), so every window is
-partitioned by checkpoint and type. Blocks, at most one for each of the 21 types, are folded in an
-array of their checkpoint.
+tensor's offset is a prefix sum of aligned lengths inside (path, dtype), taken range by range
+(``running``), so one checkpoint may hold any number of tensors. Blocks, at most one for each of the
+21 types, are folded in an array of their checkpoint.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.dtypes import DTYPES, align_block, align_elems, dtype
 from tensorloom.functions.scalars import align_up, numel, padding
+from tensorloom.operators.running import running
 
 ALIGN_BYTES = 128
 
@@ -45,8 +46,8 @@ def ordered(tensors: DataFrame, name_order: Sequence[str] | None = None) -> Data
 
 
 def positioned(tensors: DataFrame) -> DataFrame:
-    """``ordered`` tensors with ``pos`` from 0 inside their checkpoint: one task for each checkpoint's index."""
-    return tensors.withColumn("pos", (F.row_number().over(Window.partitionBy("path").orderBy("rank")) - 1).cast("bigint"))
+    """``ordered`` tensors with ``pos`` from 0 inside their checkpoint."""
+    return running(tensors, ["path"], ["rank"], pos=F.lit(1))
 
 
 def groups(tensors: DataFrame) -> DataFrame:
@@ -61,8 +62,7 @@ def index(tensors: DataFrame, align_bytes: int = ALIGN_BYTES, target_dtype: str
         raise ValueError("align_bytes must not be negative")
     rows = ordered(sized(tensors, target_dtype), name_order)
     step = align_up(F.col("numel"), _lookup(F.col("dtype"), lambda d: align_elems(align_bytes, d.size)))
-    before = Window.partitionBy("path", "dtype").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum(step).over(before), F.lit(0)).cast("bigint"))
+    rows = running(rows.select("path", "name", "dtype", "shape", "numel", "rank"), ["path", "dtype"], ["rank"], offset=step)
     numbered = groups(rows).select(F.col("path").alias("p"), F.col("dtype").alias("d"), "macroblock")
     both = rows.join(numbered, (F.col("path") == F.col("p")) & (F.col("dtype") == F.col("d")))
     return both.select("path", "macroblock", "dtype", "name", "shape", "offset", F.col("numel").alias("length"), "rank")
@@ -125,14 +125,17 @@ def located(index: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     b = blocks.select(F.col("path").alias("p"), F.col("macroblock").alias("m"), F.col("dtype").alias("block_dtype"), F.col("offset_bytes").alias("block_start"))
     both = index.join(b, (F.col("path") == F.col("p")) & (F.col("macroblock") == F.col("m")), "left").drop("p", "m")
-    message = F.concat(F.lit("tensor "), F.col("name"), F.lit(" is said to be in block "), F.col("macroblock").cast("string"), F.lit(", which its file lacks"))
+    message = F.concat(F.lit("tensor "), F.col("name"), F.lit(" is said to be in macroblock "), F.col("macroblock").cast("string"), F.lit(", which its file lacks"))
     known = F.when(F.col("block_start").isNull(), F.raise_error(message).cast("bigint")).otherwise(F.col("block_start"))
     size = _lookup(F.col("block_dtype"), lambda d: d.size)
     return both.withColumn("start_byte", known + F.col("offset") * size).withColumn("end_byte", known + (F.col("offset") + F.col("length")) * size).drop("block_start")
 
 
 def violations(index: DataFrame, align_bytes: int = ALIGN_BYTES) -> DataFrame:
-    """path, n_misaligned, first_names: offsets off their alignment, of all rows (ignored names too)."""
+    """path, n_misaligned, first_names: offsets off their alignment, of all rows (ignored names too).
+
+    The rank is tested at once, so Spark's group limit lets three rows a checkpoint leave each task.
+    """
     align = _lookup(F.col("dtype"), lambda d: align_elems(align_bytes, d.size))
     off = index.where((align > 0) & (F.pmod("offset", F.greatest(align, F.lit(1))) != 0))
     nth = F.row_number().over(Window.partitionBy("path").orderBy("macroblock", "offset", "name"))

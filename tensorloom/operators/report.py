@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions.scalars import left_justified, zero_padded
+from tensorloom.operators.running import running
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
@@ -25,18 +26,24 @@ def block_lines(blocks: DataFrame) -> DataFrame:
 
 def index_lines(index: DataFrame) -> DataFrame:
     """path, position, new_block, line: tensors by (block, offset); ``new_block`` marks a block's first."""
-    whole = Window.partitionBy("path")
-    order = whole.orderBy("macroblock", "offset", "name")
     end = F.col("offset") + F.col("length")
-    rows = index.withColumn("macroblock", F.coalesce("macroblock", F.lit(0))).withColumn("position", F.row_number().over(order) - 1)
-    rows = rows.withColumn("n", F.count("*").over(whole)).withColumn("most", F.max(end).over(whole))
-    rows = rows.withColumn("new_block", ~F.lag("macroblock").over(order).eqNullSafe(F.col("macroblock")))
+    index = index.withColumn("macroblock", F.coalesce("macroblock", F.lit(0)))
+    whole = Window.partitionBy("path")  # blocks: 21 a checkpoint at most
+    blocks = index.groupBy("path", "macroblock").agg(F.count("*").alias("held"), F.max(end).alias("most"))
+    earlier = F.sum("held").over(whole.orderBy("macroblock").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(
+        F.col("path").alias("p"), F.col("macroblock").alias("m"), F.coalesce(earlier, F.lit(0)).alias("first"),
+        F.sum("held").over(whole).alias("n"), F.max("most").over(whole).alias("most"),
+    )
+    rows = running(index, ["path"], ["macroblock", "offset", "name"], position=F.lit(1))
+    rows = rows.join(blocks, F.col("path").eqNullSafe(F.col("p")) & (F.col("macroblock") == F.col("m")))
+    rows = rows.withColumn("new_block", F.col("position") == F.col("first"))
     digits = F.length(F.col("most").cast("string"))
     line = F.concat(
         zero_padded(F.col("position"), F.length(F.col("n").cast("string"))), F.lit(": "), zero_padded(F.col("offset"), digits), F.lit(":"),
         zero_padded(end, digits), F.lit(" "), F.col("name"), F.lit(" ["), F.array_join(F.transform("shape", lambda x: x.cast("string")), ", "), F.lit("]"),
     )
-    return rows.select("path", F.col("position").cast("bigint").alias("position"), "new_block", line.alias("line"))
+    return rows.select("path", "position", "new_block", line.alias("line"))
 
 
 def labelled(key: Column, labels: Mapping[str, str]) -> Column:

@@ -11,7 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -68,6 +68,13 @@ def run_dir(spark: SparkSession) -> str:
     return _folders[context.applicationId]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of the application's folder: lineage ends here, lost executors or not."""
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove the application's intermediate tables; DataFrames that read them are spent."""
     context = spark.sparkContext

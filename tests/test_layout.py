@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.dtypes import BY_NAME, DTYPES, align_block, align_elems, dtype
 from tensorloom.operators import layout
+from tensorloom.operators.running import running
 from tensorloom.sources import adapters
 
 
@@ -83,3 +84,25 @@ def test_refusals(spark):
     index = layout.index(frame(spark, [("a", "int8", [1], 0)]))
     with pytest.raises(Exception, match="macroblock 99"):
         layout.located(index.withColumn("macroblock", F.lit(99)), layout.blocks(index)).collect()
+
+
+def test_running_sums_split_one_key_over_ranges(spark):
+    """One key over several tasks, a null key, an empty key and ties."""
+    rng = random.Random(3)
+    data = [(k, i, rng.randrange(9)) for k, n in (("a", 500), (None, 40), ("b", 1)) for i in range(n)]
+    rows = spark.createDataFrame(rng.sample(data, len(data)), "k string, i bigint, x bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running(rows, ["k"], ["i"], before=F.col("x"), pos=F.lit(1))
+        assert got.columns == ["k", "i", "x", "before", "pos"]
+        want, at = {}, {}
+        for k, i, x in data:
+            want[k, i] = (x, *at.get(k, (0, 0)))
+            at[k] = (at.get(k, (0, 0))[0] + x, i + 1)
+        assert {(r[0], r[1]): tuple(r[2:]) for r in got.collect()} == want
+        assert running(rows.where("false"), ["k"], ["i"], pos=F.lit(1)).count() == 0
+        assert sorted(r[0] for r in running(rows.withColumn("i", F.lit(7)), ["k"], ["i"], pos=F.lit(1)).where("k = 'a'").select("pos").collect()) == list(range(500))
+        ranges = rows.where("k = 'a'").repartitionByRange("k", "i").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert ranges > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
