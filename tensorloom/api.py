@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions import codecs, predicates
-from tensorloom.functions.dtypes import dtype
+from tensorloom.functions.dtypes import dtype, element_size
 from tensorloom.operators import layout, reconcile
-from tensorloom.sources import container
+from tensorloom.shipping import ship, written
+from tensorloom.sources import container, folder
 from tensorloom.sources.container import Block, Entry, Signature
 from tensorloom.sources.datasource import register
 
@@ -76,6 +78,51 @@ def _write(spark, rows: DataFrame, index: DataFrame, chunked: bool, destination:
     return container.read_footer(destination, signature)
 
 
+def pack_folder(
+    tensors: DataFrame,
+    destination: str,
+    container_bytes: int = 1 << 30,
+    container_tensors: int = 100_000,
+    target_dtype: str | None = None,
+    align_bytes: int = layout.ALIGN_BYTES,
+    signature: Signature = Signature(),
+) -> DataFrame:
+    """Write ``tensors(name, dtype, shape, payload[, ord])`` as containers of a new or empty folder.
+
+    Tensors are dealt by a hash of the name into as many containers as their bytes and number call
+    for, about ``container_bytes`` and ``container_tensors`` each; a larger tensor makes its own larger.
+    All are planned together, and each is written by one task with its own footer: the driver sees two
+    sums, neither payloads nor index rows. Names have to be unique, payloads whole. :func:`read` takes
+    the folder. Gives path, n_tensors and n_bytes of every container; no tensors, no containers.
+    """
+    if min(container_bytes, container_tensors) < 1:
+        raise ValueError("a container has to hold a byte and a tensor at least")
+    spark = tensors.sparkSession
+    ship(spark)
+    rows = tensors if "ord" in tensors.columns else tensors.withColumn("ord", F.col("name"))
+    heads = layout.sized(rows.select("name", "dtype", "shape", "ord"), target_dtype)
+    total = heads.agg(F.sum(F.col("numel") * element_size(F.col("dtype"))).alias("bytes"), F.count("*").alias("n")).first()
+    n = max(1, -(-(total["bytes"] or 0) // container_bytes), -(-total["n"] // container_tensors))
+    number = F.lpad(F.pmod(F.xxhash64("name"), F.lit(n)).cast("string"), len(str(n)), "0")
+    path = F.concat(F.lit(destination.rstrip("/") + "/part-"), number, F.lit(".pack"))
+    index = layout.index(heads.withColumn("path", path), align_bytes)
+    blocks = layout.blocks(index, align_bytes)
+    places = layout.located(index, blocks).select("path", "name", "start_byte")
+    wanted = F.col("dtype") if target_dtype is None else F.lit(dtype(target_dtype).name)
+    payload = F.col("payload") if target_dtype is None else codecs.cast_payload(F.col("payload"), F.col("dtype"), wanted)
+    pieces = rows.select("name", payload.alias("payload")).join(places, "name").select("path", F.lit(False).alias("is_footer"), "start_byte", "payload")
+    ends = layout.totals(blocks).select("path", F.col("total_payload_bytes").alias("start_byte"))
+    footers = layout.footer_json(index, blocks, signature.prefix, align_bytes).join(ends, "path")
+    pieces = pieces.unionByName(footers.select("path", F.lit(True).alias("is_footer"), "start_byte", F.encode("footer", "UTF-8").alias("payload")))
+    unfinished = f"{destination.rstrip('/')}/_unfinished-{uuid.uuid4().hex}"
+    try:
+        return written(folder.write(pieces, unfinished, signature), "containers")
+    finally:
+        system, inner = container.file_system(unfinished)
+        if system.get_file_info(inner).type.name == "Directory":
+            system.delete_dir(inner)
+
+
 def read(spark: SparkSession, path: str, what: str = "chunks", ignore_names=None, ignore_prefixes=None, ignore_suffixes=None, **options) -> DataFrame:
     """A container's ``chunks``, ``index``, ``blocks`` or ``meta``; ignored names' bytes are not read."""
     name = "tensorpack" if what == "chunks" else f"tensorpack.{what}"

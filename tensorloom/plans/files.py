@@ -70,10 +70,16 @@ def _packed(spark: SparkSession, sf_dir: str, **options) -> str:
     return path
 
 
+def _packed_folder(spark: SparkSession, sf_dir: str, **options) -> str:
+    path = f"{folder(spark)}/model"
+    api.pack_folder(payload_tensors(spark, sf_dir), path, **options)
+    return path
+
+
 @query("SELECT 'doc.' || lang || '.' || doc_id || '.text' AS name, 'uint8' AS dtype, octet_length(encode(text))::BIGINT AS length, md5(text) AS content FROM documents WHERE length(text) > 0")
 def container_scan(spark, sf_dir):
     """Whole tensors of one type, by a filter that the scan takes over: no vector's bytes are read."""
-    path = _packed(spark, sf_dir)
+    path = _packed_folder(spark, sf_dir)
     rows = api.tensors(spark, path, ignore_prefixes=["emb."])
     return rows.select("name", "dtype", F.get("shape", F.lit(0)).alias("length"), F.md5("payload").alias("content"))
 
@@ -83,8 +89,8 @@ def container_scan(spark, sf_dir):
     "UNION ALL SELECT 'float32', len(embedding) FROM embeddings) GROUP BY dtype"
 )
 def container_index(spark, sf_dir):
-    """What a container holds, from its footer alone."""
-    index = api.read(spark, _packed(spark, sf_dir), "index")
+    """What containers hold, from their footers alone."""
+    index = api.read(spark, _packed_folder(spark, sf_dir), "index")
     return index.groupBy("dtype").agg(F.count("*").alias("n_tensors"), F.sum("length").alias("n_elems"))
 
 
@@ -92,9 +98,9 @@ def container_index(spark, sf_dir):
     "SELECT (SELECT count(*) FROM documents WHERE length(text) > 0) + (SELECT count(*) FROM embeddings) AS n, (SELECT count(*) FROM documents WHERE length(text) > 0) + (SELECT count(*) FROM embeddings) AS n_equal"
 )
 def roundtrip_equal(spark, sf_dir):
-    """Source and file joined both ways: every tensor is there with its type, shape and bytes."""
+    """Source and files joined both ways: every tensor is there with its type, shape and bytes."""
     source = payload_tensors(spark, sf_dir).select("name", F.col("dtype").alias("d"), F.col("shape").alias("s"), F.md5("payload").alias("m"))
-    stored = api.tensors(spark, _packed(spark, sf_dir, align_bytes=100)).select("name", "dtype", "shape", F.md5("payload").alias("md5"))
+    stored = api.tensors(spark, _packed_folder(spark, sf_dir, align_bytes=100)).select("name", "dtype", "shape", F.md5("payload").alias("md5"))
     both = source.join(stored, "name", "full_outer")
     equal = F.col("d").eqNullSafe(F.col("dtype")) & F.col("s").eqNullSafe(F.col("shape")) & F.col("m").eqNullSafe(F.col("md5"))
     return both.agg(F.count("*").alias("n"), F.count_if(equal).alias("n_equal"))

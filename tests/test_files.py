@@ -36,6 +36,24 @@ def test_round_trip(spark, tmp_path, align):
     assert old["shape"] == [1]
 
 
+@pytest.mark.parametrize("most", [1, 5, 100])
+def test_folder_of_containers(spark, tmp_path, most):
+    """Many, some and one container: the tensors of all are those given, other files don't stay."""
+    rows, df = sample(spark)
+    made = api.pack_folder(df, f"{tmp_path}/all", container_tensors=most, signature=Signature(b"OTHERPK\0", "x")).collect()
+    files = sorted((tmp_path / "all").iterdir())
+    assert sorted(r["path"] for r in made) == [str(f) for f in files] and (len(files) == 1) == (most == 100)
+    assert sum(r["n_tensors"] for r in made) == len(rows) and all(f.stat().st_size == r["n_bytes"] for f, r in zip(files, sorted(made)))
+    read = api.tensors(spark, f"{tmp_path}/all", magic="OTHERPK", prefix="x").collect()
+    assert {r["name"]: (r["dtype"], r["shape"], bytes(r["payload"])) for r in read} == {n: (d, s, bytes(p)) for n, d, s, p, _ in rows}
+    if most == 100:  # the same file as the writer of one file makes
+        api.pack(df, f"{tmp_path}/one.pack", signature=Signature(b"OTHERPK\0", "x"))
+        assert files[0].read_bytes() == (tmp_path / "one.pack").read_bytes()
+        assert api.pack_folder(df.where("false"), f"{tmp_path}/none").count() == 0
+        with pytest.raises(Exception, match="repeated"):
+            api.pack_folder(df.unionByName(df.where("name = 'é.日'")), f"{tmp_path}/twice").count()
+
+
 def test_one_type_is_version_3(spark, tmp_path):
     path = f"{tmp_path}/x.pack"
     df = spark.createDataFrame([("a", "float32", [3], codecs.encode([1, 2, 3], "float32"), 0), ("b", "int32", [2], codecs.encode([7, 8], "int32"), 1)], T)
