@@ -30,7 +30,10 @@ of the tokens, as fixed-width rows, and the sets of documents that have a candid
 of counted size: the frequent tokens (``MOST_FREQUENT`` at most, 9 bytes each; the frequency that counts as
 frequent rises until they fit) and lists of copies, groups and candidates up to ``BROADCAST_ROWS``
 rows, beyond which they are joined by shuffles. A cluster of more than ``UNIT_ROWS`` classes or
-``UNIT_TOKENS`` tokens is cut into blocks and compared by pairs of blocks, each a task of bounded memory.
+``UNIT_TOKENS`` tokens is cut into bands by the size of the sets and the bands into blocks. Sizes of
+linked sets differ by the threshold at most, so only blocks of one band or of neighbouring bands are
+compared, by pairs, each a task of bounded memory: texts of all lengths that a common passage chains
+into one cluster do not all meet.
 
 Defined results: a text with fewer than ``k`` words is one shingle, its whole sequence of words. A
 null text or one without words has an empty set, links with nothing and is its own component.
@@ -41,11 +44,12 @@ with a probability of about 1e-13. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.components import components
@@ -70,6 +74,9 @@ BROADCAST_ROWS = 500_000
 #: Bytes of a text whose words are hashed in one go, and the length beyond which a word is hashed on its own.
 PIECE, LONG_WORD = 1 << 20, 255
 
+#: The pairs of blocks that a set takes part in.
+UNITS = "array<struct<lower:int,low:int,upper:int,high:int,side:int>>"
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -305,23 +312,59 @@ def open_unit(left: list[tuple], right: list[tuple] | None, threshold: int) -> l
 
 
 def _links(members: DataFrame, threshold: int) -> DataFrame:
-    """a, b: links inside the clusters of ``members(cluster, blocks, block, group, digest, set)``."""
+    """a, b: links inside the clusters of ``members(cluster, band, block, blocks, before, after, group, digest, set)``.
+
+    ``blocks``, ``before`` and ``after`` are the blocks of the set's band and of the bands next to it.
+    """
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["side", "digest"]).sort_values(["side", "group", "digest"])
         sides = [[(g, np.frombuffer(x, np.uint64)) for g, x in zip(p["group"], p["set"], strict=True)] for p in (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])]
-        own, digests = bool(pdf["low"].iloc[0] == pdf["high"].iloc[0]), pdf["digest"].tolist()
+        own, digests = bool((pdf["low"].iloc[0], pdf["lower"].iloc[0]) == (pdf["high"].iloc[0], pdf["upper"].iloc[0])), pdf["digest"].tolist()
         if not sides[0] or (not own and not sides[1]):
             return pd.DataFrame({"a": [], "b": []})
         found = open_unit(sides[0], None if own else sides[1], threshold)
         return pd.DataFrame({"a": [digests[i] for i, _ in found], "b": [digests[j] for _, j in found]})
 
-    # A cluster of one block is one unit; of more, each pair of blocks is one.
-    rows = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("low", F.least("block", "o")).withColumn("high", F.greatest("block", "o"))
-    rows = rows.select("cluster", "low", "high", F.when(F.col("block") > F.col("o"), 1).otherwise(0).alias("side"), "group", "digest", "set")
-    return rows.groupBy("cluster", "low", "high").applyInPandas(run, "a binary, b binary")
+    # A cluster of one block is one unit; of more, each pair of blocks whose sets can link is one.
+    def units(blocks: str, of) -> Column:
+        return F.when(F.col(blocks) > 0, F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), of)).otherwise(F.array().cast(UNITS))
+
+    def unit(lower, low, upper, high, side) -> Column:
+        return F.struct(lower.alias("lower"), low.alias("low"), upper.alias("upper"), high.alias("high"), side.alias("side"))
+
+    band, block, zero, one = F.col("band"), F.col("block"), F.lit(0), F.lit(1)
+    inside = units("blocks", lambda o: unit(band, F.least(block, o), band, F.greatest(block, o), F.when(block > o, one).otherwise(zero)))
+    after = units("after", lambda o: unit(band, block, band + 1, o, zero))
+    before = units("before", lambda o: unit(band - 1, o, band, block, one))
+    rows = members.select("cluster", F.explode(F.concat(inside, after, before)).alias("u"), "group", "digest", "set")
+    rows = rows.select("cluster", "u.*", "group", "digest", "set")
+    return rows.groupBy("cluster", "lower", "low", "upper", "high").applyInPandas(run, "a binary, b binary")
+
+
+def _placed(inside: DataFrame, threshold: int) -> DataFrame:
+    """``inside(cluster, n, group, digest)`` with the columns that ``_links`` needs.
+
+    A link asks for sizes within a factor of ``100 / threshold``; bands are a little wider than
+    that, so linked sets are in one band or in neighbouring ones. Clusters of one block keep one band.
+    """
+    width = max(1.001 * math.log(100 / max(threshold, 1)), 0.001)
+    size = F.greatest(F.ceil(F.count("*") / F.lit(UNIT_ROWS)), F.ceil(F.sum("n") / F.lit(UNIT_TOKENS))).cast("int").alias("blocks")
+    large = written(inside.groupBy("cluster").agg(size).where(F.col("blocks") > 1).select(F.col("cluster").alias("c")), "large")
+    if large.isEmpty():
+        return inside.withColumns({"band": F.lit(0), "block": F.lit(0), "blocks": F.lit(1), "before": F.lit(0), "after": F.lit(0)}).drop("n")
+    inside = inside.join(_small(large), F.col("cluster") == F.col("c"), "left")
+    inside = inside.withColumn("band", F.when(F.col("c").isNotNull(), F.floor(F.log("n") / F.lit(width)).cast("int")).otherwise(F.lit(0)))
+    bands = inside.where(F.col("c").isNotNull()).groupBy(F.col("cluster").alias("k"), F.col("band").alias("b")).agg(size)
+    # A cluster has few bands: their number grows with the logarithm of the longest text.
+    order = Window.partitionBy("k").orderBy("b")
+    beside = lambda of, step: F.when(of("b").over(order) == F.col("b") + step, of("blocks").over(order))
+    bands = written(bands.select("k", "b", F.col("blocks").alias("__blocks"), beside(F.lag, -1).alias("__before"), beside(F.lead, 1).alias("__after")), "bands")
+    inside = inside.join(_small(bands), (F.col("cluster") == F.col("k")) & (F.col("band") == F.col("b")), "left")
+    inside = inside.withColumns({"blocks": F.coalesce("__blocks", F.lit(1)), "before": F.coalesce("__before", F.lit(0)), "after": F.coalesce("__after", F.lit(0))})
+    block = F.pmod(F.xxhash64("group", F.when(F.col("blocks") > 1, F.col("digest"))), F.col("blocks")).cast("int")
+    return inside.select("digest", "mark", "group", "cluster", "band", block.alias("block"), "blocks", "before", "after")
 
 
 def _clustered(groups: DataFrame, edges: DataFrame, kind: int) -> DataFrame:
@@ -365,10 +408,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, t
     opened = opened.unionByName(_clustered(hot.select(F.explode(F.array("a", "b")).alias("o")).distinct(), hot, 1))
     inside = nodes.select("digest", "mark", "n", "group").join(_small(written(opened, "opened")), F.col("group") == F.col("o")).drop("o").distinct()
     inside = written(inside, "inside")
-    by_rows, by_tokens = F.ceil(F.count("*") / F.lit(UNIT_ROWS)), F.ceil(F.sum("n") / F.lit(UNIT_TOKENS))
-    blocks = inside.groupBy("cluster").agg(F.greatest(by_rows, by_tokens).cast("int").alias("blocks"))
-    inside = inside.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("group", F.when(F.col("blocks") > 1, F.col("digest"))), F.col("blocks")).cast("int"))
-    inside = written(inside, "placed")
+    inside = written(_placed(inside, threshold), "placed")
     marks = written(inside.select(F.col("mark").alias("m")).distinct(), "marks")
     texts = docs.join(_small(marks), F.col("mark") == F.col("m"), "left_semi")
     members = _whole_sets(texts, k).join(_small(inside), "digest")

@@ -71,6 +71,28 @@ def test_equals_brute_force(spark, monkeypatch, k, threshold, seed):
     assert got(jaccard.join(df, k=k, threshold=threshold)) == brute(rows, k, threshold)
 
 
+def test_sizes_at_the_border_of_a_link(spark, monkeypatch):
+    """Sets whose sizes are just as far apart as a link allows are compared in every cut of a cluster."""
+    monkeypatch.setattr(jaccard, "UNIT_ROWS", 1)
+    rows = []
+    for place, n in enumerate((17, 34, 51, 68, 85, 170, 340)):
+        words = [f"w{place}x{i}" for i in range(20 * n // 17 + 4)]
+        for size in (n - 1, n, 20 * n // 17, 20 * n // 17 + 1):
+            rows.append((len(rows), " ".join(words[: size + 3])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard.join(df)) == brute(rows, 4, 85)
+
+
+def test_a_cut_cluster_compares_neighbouring_sizes_only(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT_ROWS", 2)
+    rows = [(bytes([i]), i, n, i, 7) for i, n in enumerate([10, 10, 10, 11, 100, 100, 100, 110, 1000, 1000])]
+    placed = jaccard._placed(spark.createDataFrame(rows, "digest binary, mark long, n long, group long, cluster long"), 85).collect()
+    bands = {r["band"] for r in placed}
+    assert len(bands) >= 3
+    for r in placed:
+        assert (r["before"] > 0) == (r["band"] - 1 in bands) and (r["after"] > 0) == (r["band"] + 1 in bands) and 0 <= r["block"] < r["blocks"]
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "a b"), (5, "A  B"), (6, "a b c d e"), (6, "a b c d e"), (7, "É é x y z"), (8, "é é x y z"), (9, "w " * 30000)]
     df = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, n int, digest string")
