@@ -315,4 +315,19 @@ FROM d LEFT JOIN own o ON o.r = d.r LEFT JOIN givers g ON g.dir = d.dir
 """
 
 
+#: Each rule of each policy by the bit of its failure, counted document by document.
+ABLATION = f"""
+WITH rules(rule, bit, base) AS (VALUES
+  ('too_few_words', 1, true), ('repeated_words', 2, true), ('many_symbols', 4, false), ('repeated_lines', 8, false),
+  ('short_words', 16, false), ('long_words', 32, false), ('few_alphabetic_words', 64, false)),
+policies(policy, mask) AS (VALUES ('base-1', 3), ('prose-1', 127)),
+book AS ({QUALITY})
+SELECT policy, rule,
+       count(*) FILTER (WHERE failures & bit != 0) AS failed,
+       count(*) FILTER (WHERE failures & mask = bit) AS only_this,
+       count(*) FILTER (WHERE failures & mask & ~bit = 0) AS kept_without
+FROM policies JOIN rules ON base OR policy = 'prose-1' CROSS JOIN book
+GROUP BY policy, rule
+"""
+
 SQL: dict[str, str] = {"op1_pii": _pii(), "op3_licenses": _licenses(), "op5_top_k": TOP_K, "op6_secrets": SECRETS, "op7_jaccard": JACCARD, "op9_quality": QUALITY, "op10_mixing": MIXING}

@@ -127,24 +127,29 @@ def passes(policy: str = POLICY, failures: str = "failures") -> Column:
     return F.col(failures).bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
 
 
-def ablation(book: DataFrame, policy: str = POLICY) -> DataFrame:
-    """Rule, failed, only_this, kept_without: for each rule of the policy.
+def ablations(book: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
+    """Policy, rule, failed, only_this, kept_without: for each rule of each policy.
 
     ``failed`` documents fail the rule, ``only_this`` fail no other rule of the policy, and
-    ``kept_without`` would pass if the rule left the policy. The ledger is first summed by its
-    failure bits (at most 2**rules rows, whatever the number of documents).
+    ``kept_without`` would pass if the rule left the policy. The ledger is read once, for all
+    policies, and first summed by its failure bits (at most 2**rules rows, whatever the number of
+    documents). An empty ledger gives no rows.
     """
-    patterns = book.groupBy(F.col("failures").bitwiseAND(F.lit(mask(policy)).cast("long")).alias("bits")).agg(F.count("*").alias("n"))
+    patterns = book.groupBy("failures").agg(F.count("*").alias("n"))
     place = {r.name: i for i, r in enumerate(RULES)}
-    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << place[r]).cast("long").alias("bit")) for r in POLICIES[policy]])).alias("r")
-    each = patterns.select("bits", "n", rules).select("bits", "n", "r.*")
+    long = lambda bits: F.lit(bits).cast("long")
+    each = [(p, r, mask(p), 1 << place[r]) for p in policies for r in POLICIES[p]]
+    rules = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), long(m).alias("mask"), long(b).alias("bit")) for p, r, m, b in each]))
+    rows = patterns.select("failures", "n", rules.alias("r")).select("n", "r.*", F.col("failures").bitwiseAND(F.col("r.mask")).alias("bits"))
     hit = F.col("bits").bitwiseAND(F.col("bit")) != 0
     without = F.col("bits").bitwiseAND(F.bitwise_not(F.col("bit"))) == 0
-    return each.groupBy("rule").agg(
-        F.sum(F.when(hit, F.col("n")).otherwise(F.lit(0))).alias("failed"),
-        F.sum(F.when(hit & without, F.col("n")).otherwise(F.lit(0))).alias("only_this"),
-        F.sum(F.when(without, F.col("n")).otherwise(F.lit(0))).alias("kept_without"),
-    )
+    total = lambda test: F.sum(F.when(test, F.col("n")).otherwise(F.lit(0)))
+    return rows.groupBy("policy", "rule").agg(total(hit).alias("failed"), total(hit & without).alias("only_this"), total(without).alias("kept_without"))
+
+
+def ablation(book: DataFrame, policy: str = POLICY) -> DataFrame:
+    """Rule, failed, only_this, kept_without: :func:`ablations` of one policy."""
+    return ablations(book, (policy,)).drop("policy")
 
 
 def keep(docs: DataFrame, policy: str = POLICY, text: str = "text") -> DataFrame:

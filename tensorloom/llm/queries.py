@@ -86,6 +86,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of every policy costs: the ledger of ``op9_quality``, summed by its failure bits."""
+    return quality.ablations(quality.ledger(_table(spark, sf_dir, "documents")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -105,3 +110,6 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 ORACLES = oracles.SQL
+#: Further results of these operators, with their SQL.
+REPORTS = {"quality_ablation": quality_ablation}
+REPORT_ORACLES = {"quality_ablation": oracles.ABLATION}

@@ -63,6 +63,13 @@ def test_ablation(rows):
         assert (r["failed"], r["only_this"], r["kept_without"]) == (sum(bool(b & bit) for b in bits), sum(b == bit for b in bits), sum(not b & ~bit for b in bits))
 
 
+def test_ablations_hold_every_policy(rows):
+    book = quality.ledger(rows[1])
+    found = {tuple(r) for r in quality.ablations(book).collect()}
+    assert found == {(p, *r) for p in quality.POLICIES for r in map(tuple, quality.ablation(book, p).collect())}
+    assert len(found) == sum(map(len, quality.POLICIES.values())) and quality.ablations(book.where("false")).count() == 0
+
+
 def luhn(m):
     d = [int(c) for c in re.sub("[^0-9]", "", m)][::-1]
     return 16 <= len(d) <= 19 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
