@@ -44,8 +44,8 @@ SEEDS = ("adult", "porn", "xxx", "casino", "poker", "bets", "pills", "viagra", "
 RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
-    ("allow", "example.net/de/8"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
