@@ -92,28 +92,34 @@ def pack_folder(
     Tensors are dealt by a hash of the name into as many containers as their bytes and number call
     for, about ``container_bytes`` and ``container_tensors`` each; a larger tensor makes its own larger.
     All are planned together, and each is written by one task with its own footer: the driver sees two
-    sums, neither payloads nor index rows. Names have to be unique, payloads whole. :func:`read` takes
+    sums and a row for each block, neither payloads nor index rows. Names have to be unique, payloads whole. :func:`read` takes
     the folder. Gives path, n_tensors and n_bytes of every container; no tensors, no containers.
     """
     if min(container_bytes, container_tensors) < 1:
         raise ValueError("a container has to hold a byte and a tensor at least")
     spark = tensors.sparkSession
     ship(spark)
-    rows = tensors if "ord" in tensors.columns else tensors.withColumn("ord", F.col("name"))
-    heads = layout.sized(rows.select("name", "dtype", "shape", "ord"), target_dtype)
+    # The name settles ties, so that the order of a file is one and the same for index rows and payloads.
+    ord = F.struct(F.col("ord").alias("ord"), F.col("name").alias("name")) if "ord" in tensors.columns else F.col("name")
+    payload = F.col("payload") if target_dtype is None else codecs.cast_payload(F.col("payload"), F.col("dtype"), F.lit(dtype(target_dtype).name))
+    rows = layout.sized(tensors.select("name", "dtype", "shape", ord.alias("ord"), payload.alias("payload")), target_dtype)
+    heads = rows.drop("payload")
     total = heads.agg(F.sum(F.col("numel") * element_size(F.col("dtype"))).alias("bytes"), F.count("*").alias("n")).first()
     n = max(1, -(-(total["bytes"] or 0) // container_bytes), -(-total["n"] // container_tensors))
     number = F.lpad(F.pmod(F.xxhash64("name"), F.lit(n)).cast("string"), len(str(n)), "0")
     path = F.concat(F.lit(destination.rstrip("/") + "/part-"), number, F.lit(".pack"))
-    index = layout.index(heads.withColumn("path", path), align_bytes)
+    index = written(layout.index(heads.withColumn("path", path), align_bytes), "index")
     blocks = layout.blocks(index, align_bytes)
-    places = layout.located(index, blocks).select("path", "name", "start_byte")
-    wanted = F.col("dtype") if target_dtype is None else F.lit(dtype(target_dtype).name)
-    payload = F.col("payload") if target_dtype is None else codecs.cast_payload(F.col("payload"), F.col("dtype"), wanted)
-    pieces = rows.select("name", payload.alias("payload")).join(places, "name").select("path", F.lit(False).alias("is_footer"), "start_byte", "payload")
-    ends = layout.totals(blocks).select("path", F.col("total_payload_bytes").alias("start_byte"))
+    places = layout.located(index, blocks).select("path", "macroblock", "rank", "name", F.lit(folder.PLACE).alias("kind"), "start_byte", F.lit(None).cast("binary").alias("payload"))
+    # Payloads find their file by the name's hash and their block by a table of a row for each type of a file: they are shuffled once.
+    numbered = F.broadcast(blocks.select("path", "dtype", "macroblock"))
+    payloads = layout.ordered(rows).withColumn("path", path).join(numbered, ["path", "dtype"])
+    payloads = payloads.select("path", "macroblock", "rank", "name", F.lit(folder.PAYLOAD).alias("kind"), F.lit(None).cast("bigint").alias("start_byte"), "payload")
+    ends = layout.totals(blocks).select("path", "n_blocks", F.col("total_payload_bytes").alias("start_byte"))
     footers = layout.footer_json(index, blocks, signature.prefix, align_bytes).join(ends, "path")
-    pieces = pieces.unionByName(footers.select("path", F.lit(True).alias("is_footer"), "start_byte", F.encode("footer", "UTF-8").alias("payload")))
+    none = F.lit(None).cast(index.schema["rank"].dataType).alias("rank")
+    footers = footers.select("path", F.col("n_blocks").cast("int").alias("macroblock"), none, F.lit("").alias("name"), F.lit(folder.FOOTER).alias("kind"), "start_byte", F.encode("footer", "UTF-8").alias("payload"))
+    pieces = places.unionByName(payloads).unionByName(footers)
     unfinished = f"{destination.rstrip('/')}/_unfinished-{uuid.uuid4().hex}"
     try:
         return written(folder.write(pieces, unfinished, signature), "containers")

@@ -10,6 +10,7 @@ from tensorloom import api, cli
 from tensorloom.functions import codecs
 from tensorloom.functions.dtypes import DTYPES
 from tensorloom.operators.reconcile import Policy
+from tensorloom.plans import files as plans
 from tensorloom.sources import benchmarks, container, directories, safetensors
 from tensorloom.sources.container import Signature
 from tensorloom.streaming import catalogue
@@ -117,6 +118,29 @@ def test_faulty_footers(tmp_path, spark):
         api.read(spark, str(off), ignore_names=list("abcde")).count()
 
 
+@pytest.mark.parametrize("lost", [False, True])
+def test_validity_is_told_of_bounded_containers(spark, sf_dir, monkeypatch, lost):
+    """No footer is made on the driver; of many containers all have to be there and whole."""
+
+    def on_driver(*_):
+        raise AssertionError("the whole index came to the driver")
+
+    def pack_folder(tensors, destination, pack=api.pack_folder):
+        made = pack(tensors, destination, container_tensors=300)
+        files = sorted(r["path"] for r in made.collect())
+        assert len(files) > 2
+        if lost:
+            with open(files[1], "r+b") as f:
+                f.truncate(9)
+        return made
+
+    monkeypatch.setattr(container, "footer_json", on_driver)
+    monkeypatch.setattr(api, "pack_folder", pack_folder)
+    out = {r["file"]: (r["is_valid"], r["fault"]) for r in plans.container_validity(spark, sf_dir).collect()}
+    assert out.pop("good.pack") == ((False, "less than the end") if lost else (True, None))
+    assert len(out) == 6 and not any(valid for valid, _ in out.values())
+
+
 def test_assign(spark, tmp_path):
     path = f"{tmp_path}/x.pack"
     api.pack(sample(spark)[1], path)
