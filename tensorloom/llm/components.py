@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.scratch import written
+from tensorloom.llm.scratch import freed
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     links the result is empty.
     """
     links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = written(links, "links")
+    links = freed(links, "links")
     for _ in range(most_rounds):
         if _stars(links):
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -29,7 +29,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
+        links = freed(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 

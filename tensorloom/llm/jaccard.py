@@ -7,8 +7,8 @@ links. It loses no link between different texts and emits no pairs within a grou
 1. *Classes.* Documents with equal sets are one class from the start (a 128-bit digest of the set),
    so copies cost one row each, whatever their number.
 2. *Groups.* Similar classes are put together by the least hash of their set that is not frequent
-   (two sets agree in it with about the probability of their similarity), in groups of
-   ``GROUP_ROWS`` classes or so.
+   (two sets agree in it with about the probability of their similarity) and the band of its size,
+   in groups of ``GROUP_ROWS`` classes or so.
 3. *Matrix.* For each group the union of its classes' prefix tokens is stored, one row per token
    and group. The prefix of a set of ``n`` are its first ``n - a + l`` tokens in one global order,
    where ``a`` is the least intersection that a link needs and ``l = min(LEAST_SHARED, a)``: two
@@ -16,10 +16,12 @@ links. It loses no link between different texts and emits no pairs within a grou
    in their prefix (passages that many documents share) come last in the order, the more documents
    the later, so they leave the prefixes of all but the texts made of them, and those keep the rarest
    of them. The order is a matter of speed, never of the result.
-4. *Bound.* The matrix is joined with itself on the token; groups that share fewer than ``l``
-   tokens cannot hold a link and stay closed for each other. The others form clusters. Tokens that
-   more than ``HOT`` groups share (near copies by the thousand) give one edge a group to the token's
-   first group instead of pairs: two sets that share such a token are in one cluster in any case.
+4. *Bound.* The matrix is joined with itself on the token, for groups whose sizes allow a link.
+   Groups that share too few tokens cannot hold one and stay closed for each other: ``l`` at least, more
+   where their sizes are alike (``_size_bounds``). The others form clusters. Tokens that more than
+   ``HOT`` groups share (near copies by the thousand) give no pairs. A pair that shares another token too is
+   credited with all the hot ones that it can have; one that shares hot tokens only shares ``l`` of
+   them, so groups with as many get an edge to the first such group of each of their hot tokens.
 5. *Opening.* Only the texts of groups that qualify are read again, once each. Inside a cluster a
    set opens a group only if its overlap with the union of the group's whole sets reaches ``a`` and
    a member is not connected to it yet; the comparison is exact on whole sets. A spanning forest of
@@ -29,11 +31,13 @@ Scale: the text is scanned twice (order, matrix) without a shuffle; what is shuf
 of the tokens, as fixed-width rows, and the sets of documents that have a candidate. Broadcasts are
 of counted size: the frequent tokens (``MOST_FREQUENT`` at most, 9 bytes each; the frequency that counts as
 frequent rises until they fit) and lists of copies, groups and candidates up to ``BROADCAST_ROWS``
-rows, beyond which they are joined by shuffles. A cluster of more than ``UNIT_ROWS`` classes or
+rows, beyond which they are joined by shuffles. The candidates' texts are found by a bitmap of their marks
+before that (``_sieved``). Each step's shuffle files go when it is written. A cluster of more than ``UNIT_ROWS`` classes or
 ``UNIT_TOKENS`` tokens is cut into bands by the size of the sets and the bands into blocks. Sizes of
 linked sets differ by the threshold at most, so only blocks of one band or of neighbouring bands are
 compared, by pairs, each a task of bounded memory: texts of all lengths that a common passage chains
-into one cluster do not all meet.
+into one cluster do not all meet. Where sets go to more than ``SENT`` pairs on average, the pairs are
+compared in rounds, so the disk holds a bounded multiple of the sets, however large the clusters.
 
 Defined results: a text with fewer than ``k`` words is one shingle, its whole sequence of words. A
 null text or one without words has an empty set, links with nothing and is its own component.
@@ -46,6 +50,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +58,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.components import components
-from tensorloom.llm.scratch import for_workers, written
+from tensorloom.llm.scratch import for_workers, freed
 
 #: Shared prefix tokens that a pair of groups needs before it is opened.
 LEAST_SHARED = 4
@@ -71,6 +76,10 @@ UNIT_ROWS = 1024
 UNIT_TOKENS = 1_000_000
 #: Rows (under 40 bytes each) of a side that is broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Bits of the map of candidates that is broadcast where there are more of them (16 MB).
+SIEVE_BITS = 1 << 27
+#: Times that a set is sent to units in one round, on average.
+SENT = 4
 #: Bytes of a text whose words are hashed in one go, and the length beyond which a word is hashed on its own.
 PIECE, LONG_WORD = 1 << 20, 255
 
@@ -159,11 +168,23 @@ def needed(n, threshold: int):
     return -(-threshold * n // 100)
 
 
-def prefix_length(n: int, threshold: int) -> tuple[int, int]:
-    """The prefix's length and the tokens that it must share."""
+def _size_bounds(lo: str, hi: str, low: str, high: str, threshold: int) -> tuple[Column, Column]:
+    """Whether sets of ``lo`` to ``hi`` and of ``low`` to ``high`` tokens can link, and the prefix tokens they then share.
+
+    Linked sets of ``m <= n`` tokens share ``o >= threshold * (m + n) / (100 + threshold)``. Their first
+    ``k`` common tokens are among the first ``n - o + k`` of both, so those up to ``k = o - a + l`` are in
+    both prefixes; that is ``l`` where ``m`` is as small as a link allows, and far more for like sizes.
+    """
+    can = (F.col(hi) * 100 >= F.col(low) * threshold) & (F.col(high) * 100 >= F.col(lo) * threshold)
+    least = F.least(F.lit(LEAST_SHARED), F.ceil(F.least(lo, low) * threshold / 100))
+    spare = F.least(F.col(low) * 100 - F.col(hi) * threshold, F.col(lo) * 100 - F.col(high) * threshold)
+    return can, least + F.greatest(F.lit(0), F.floor(spare * threshold / (100 * (100 + threshold))))
+
+
+def prefix_length(n: int, threshold: int) -> int:
+    """The prefix's length."""
     a = needed(n, threshold)
-    shared = min(LEAST_SHARED, a)
-    return n - a + shared, shared
+    return n - a + min(LEAST_SHARED, a)
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
@@ -189,7 +210,7 @@ def _prefix_tokens(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = [shingles(t, k) for t in _columns(batch, "text")[0].to_pylist()]
-            yield pa.RecordBatch.from_arrays([_lists([s[: prefix_length(len(s), threshold)[0]] for s in sets])], names=["tokens"])
+            yield pa.RecordBatch.from_arrays([_lists([s[: prefix_length(len(s), threshold)] for s in sets])], names=["tokens"])
 
     return docs.select("text").mapInArrow(run, "tokens array<bigint>")
 
@@ -200,7 +221,7 @@ def _frequent(docs: DataFrame, k: int, threshold: int) -> tuple[np.ndarray, np.n
     The class is the power of two in the token's number of documents.
     """
     counts = _prefix_tokens(docs, k, threshold).select(F.explode("tokens").alias("token")).groupBy("token").count()
-    counts = written(counts.where(F.col("count") > FREQUENT), "frequent")
+    counts = freed(counts.where(F.col("count") > FREQUENT), "frequent")
     least, left = FREQUENT, counts.count()
     while left > MOST_FREQUENT:
         least *= 2
@@ -212,7 +233,7 @@ def _frequent(docs: DataFrame, k: int, threshold: int) -> tuple[np.ndarray, np.n
 
 
 def _sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, threshold: int) -> DataFrame:
-    """key, mark, n, digest, least, shared, tokens (the prefix) of each document."""
+    """key, mark, n, digest, least, tokens (the prefix) of each document."""
     import hashlib
 
     held = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -222,9 +243,9 @@ def _sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int,
         for batch in _slices(batches):
             key, mark, text = _columns(batch, "key", "mark", "text")
             sets = [shingles(t, k) for t in text.to_pylist()]
-            prefixes, shared, least = [], [], []
+            prefixes, least = [], []
             for s in sets:
-                length, must = prefix_length(len(s), threshold)
+                length = prefix_length(len(s), threshold)
                 at = np.minimum(np.searchsorted(last, s), max(len(last) - 1, 0))
                 often = last[at] == s if len(last) else np.zeros(len(s), bool)
                 rest = s[~often]
@@ -234,19 +255,17 @@ def _sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int,
                     rarest = np.argsort(classes[at[often]], kind="stable")[: length - len(few)]
                     few = np.concatenate([few, s[often][rarest]])
                 prefixes.append(few)
-                shared.append(must)
             yield pa.RecordBatch.from_arrays(
                 [
                     key, mark, pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array(least, pa.int64()),
-                    pa.array(shared, pa.int32()), _lists(prefixes),
+                    pa.array(least, pa.int64()), _lists(prefixes),
                 ],
-                names=["key", "mark", "n", "digest", "least", "shared", "tokens"],
+                names=["key", "mark", "n", "digest", "least", "tokens"],
             )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, mark bigint, n bigint, digest binary, least bigint, shared int, tokens array<bigint>")
+    return docs.mapInArrow(run, f"key {kind}, mark bigint, n bigint, digest binary, least bigint, tokens array<bigint>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -254,6 +273,24 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _sieved(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose mark is in ``marks(m)``, and maybe a few more; their texts are not shuffled.
+
+    Up to ``BROADCAST_ROWS`` marks are broadcast, up to an eighth of ``SIEVE_BITS`` a bitmap of so many
+    bits, in rows of 4 KB; only more than that are joined by a shuffle.
+    """
+    count = marks.count()
+    if count <= BROADCAST_ROWS or count > SIEVE_BITS // 8:
+        return docs.join(_small(marks), F.col("mark") == F.col("m"), "left_semi")
+    slot, row = (lambda of: F.pmod(F.col(of), F.lit(SIEVE_BITS))), 1 << 15
+    maps = marks.groupBy(F.floor(slot("m") / row).alias("r")).agg(F.bitmap_construct_agg(slot("m") % row).alias("bits"))
+    maps = freed(maps, "maps")
+    at = slot("mark") % row
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.join(F.broadcast(maps), F.floor(slot("mark") / row) == F.col("r"))
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
     """digest, n, tokens (packed) of each document."""
     import hashlib
@@ -311,10 +348,11 @@ def open_unit(left: list[tuple], right: list[tuple] | None, threshold: int) -> l
     return out
 
 
-def _links(members: DataFrame, threshold: int) -> DataFrame:
+def _links(members: DataFrame, threshold: int, rounds: int = 1) -> DataFrame:
     """a, b: links inside the clusters of ``members(cluster, band, block, blocks, before, after, group, digest, set)``.
 
     ``blocks``, ``before`` and ``after`` are the blocks of the set's band and of the bands next to it.
+    In several rounds the sets are written once, and each round sends them to its share of the units.
     """
     import pandas as pd
 
@@ -340,31 +378,70 @@ def _links(members: DataFrame, threshold: int) -> DataFrame:
     before = units("before", lambda o: unit(band - 1, o, band, block, one))
     rows = members.select("cluster", F.explode(F.concat(inside, after, before)).alias("u"), "group", "digest", "set")
     rows = rows.select("cluster", "u.*", "group", "digest", "set")
-    return rows.groupBy("cluster", "lower", "low", "upper", "high").applyInPandas(run, "a binary, b binary")
+    unit_key = ["cluster", "lower", "low", "upper", "high"]
+    found = lambda part: part.groupBy(*unit_key).applyInPandas(run, "a binary, b binary")
+    if rounds == 1:
+        return found(rows)
+    share = F.pmod(F.xxhash64(*unit_key), F.lit(rounds))
+    return reduce(DataFrame.unionByName, [freed(found(rows.where(share == i)), "found") for i in range(rounds)])
+
+
+def _rounds(inside: DataFrame) -> int:
+    """The rounds in which ``_links`` sends a set to ``SENT`` units each, on average by bytes."""
+    units = F.col("blocks") + F.col("before") + F.col("after")
+    whole, sent = inside.agg(F.sum("n"), F.sum(F.col("n") * units)).first()
+    return max(1, -(-sent // (SENT * whole))) if whole else 1
+
+
+def _band(threshold: int) -> Column:
+    """The band of size ``n``: a little wider than sizes of linked sets are apart, so these are in one band or in neighbouring ones."""
+    width = max(1.001 * math.log(100 / max(threshold, 1)), 0.001)
+    return F.floor(F.log("n") / F.lit(width)).cast("int")
 
 
 def _placed(inside: DataFrame, threshold: int) -> DataFrame:
     """``inside(cluster, n, group, digest)`` with the columns that ``_links`` needs.
 
-    A link asks for sizes within a factor of ``100 / threshold``; bands are a little wider than
-    that, so linked sets are in one band or in neighbouring ones. Clusters of one block keep one band.
+    Clusters of one block keep one band.
     """
-    width = max(1.001 * math.log(100 / max(threshold, 1)), 0.001)
     size = F.greatest(F.ceil(F.count("*") / F.lit(UNIT_ROWS)), F.ceil(F.sum("n") / F.lit(UNIT_TOKENS))).cast("int").alias("blocks")
-    large = written(inside.groupBy("cluster").agg(size).where(F.col("blocks") > 1).select(F.col("cluster").alias("c")), "large")
+    large = freed(inside.groupBy("cluster").agg(size).where(F.col("blocks") > 1).select(F.col("cluster").alias("c")), "large")
     if large.isEmpty():
-        return inside.withColumns({"band": F.lit(0), "block": F.lit(0), "blocks": F.lit(1), "before": F.lit(0), "after": F.lit(0)}).drop("n")
+        return inside.withColumns({"band": F.lit(0), "block": F.lit(0), "blocks": F.lit(1), "before": F.lit(0), "after": F.lit(0)})
     inside = inside.join(_small(large), F.col("cluster") == F.col("c"), "left")
-    inside = inside.withColumn("band", F.when(F.col("c").isNotNull(), F.floor(F.log("n") / F.lit(width)).cast("int")).otherwise(F.lit(0)))
+    inside = inside.withColumn("band", F.when(F.col("c").isNotNull(), _band(threshold)).otherwise(F.lit(0)))
     bands = inside.where(F.col("c").isNotNull()).groupBy(F.col("cluster").alias("k"), F.col("band").alias("b")).agg(size)
     # A cluster has few bands: their number grows with the logarithm of the longest text.
     order = Window.partitionBy("k").orderBy("b")
     beside = lambda of, step: F.when(of("b").over(order) == F.col("b") + step, of("blocks").over(order))
-    bands = written(bands.select("k", "b", F.col("blocks").alias("__blocks"), beside(F.lag, -1).alias("__before"), beside(F.lead, 1).alias("__after")), "bands")
+    bands = freed(bands.select("k", "b", F.col("blocks").alias("__blocks"), beside(F.lag, -1).alias("__before"), beside(F.lead, 1).alias("__after")), "bands")
     inside = inside.join(_small(bands), (F.col("cluster") == F.col("k")) & (F.col("band") == F.col("b")), "left")
     inside = inside.withColumns({"blocks": F.coalesce("__blocks", F.lit(1)), "before": F.coalesce("__before", F.lit(0)), "after": F.coalesce("__after", F.lit(0))})
     block = F.pmod(F.xxhash64("group", F.when(F.col("blocks") > 1, F.col("digest"))), F.col("blocks")).cast("int")
-    return inside.select("digest", "mark", "group", "cluster", "band", block.alias("block"), "blocks", "before", "after")
+    return inside.select("digest", "mark", "n", "group", "cluster", "band", block.alias("block"), "blocks", "before", "after")
+
+
+def _edges(common: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: the pairs of groups that can hold a link and share a token that is not hot, and the edges for the others.
+
+    ``common(token, group, lo, hi, n)``: the groups of a token, ``n`` of them, with the least and the
+    largest size of their sets that hold it. A pair that shares only hot tokens shares at least ``l``
+    of them, so groups with fewer have no such pair.
+    """
+    warm = common.where(F.col("n") > HOT)
+    heat = freed(warm.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("heat"), F.min("lo").alias("least")), "heat")
+    cool = common.where(F.col("n") <= HOT).join(_small(heat), F.col("group") == F.col("g"), "left")
+    cool = cool.select("token", "group", "lo", "hi", F.coalesce("heat", F.lit(0)).alias("heat"))
+    other = cool.select("token", F.col("group").alias("other"), F.col("lo").alias("low"), F.col("hi").alias("high"), F.col("heat").alias("also"))
+    can, must = _size_bounds("lo", "hi", "low", "high", threshold)
+    pairs = cool.join(other, "token").where((F.col("group") < F.col("other")) & can)
+    # What the two can share besides: the hot tokens of the one that has fewer.
+    pairs = pairs.groupBy("group", "other").agg(F.count("*").alias("n"), F.min(must - F.least("heat", "also")).alias("must"))
+    pairs = freed(pairs.where(F.col("n") >= F.col("must")).select(F.col("group").alias("a"), F.col("other").alias("b")), "pairs")
+    enough = heat.where(F.col("heat") >= F.least(F.lit(LEAST_SHARED), F.ceil(F.col("least") * threshold / 100))).select("g")
+    warm = warm.join(_small(freed(enough, "enough")), F.col("group") == F.col("g"), "left_semi")
+    centers = _small(freed(warm.groupBy(F.col("token").alias("t")).agg(F.min("group").alias("b")), "centers"))
+    return pairs, freed(warm.join(centers, F.col("token") == F.col("t")).select(F.col("group").alias("a"), "b").distinct(), "hot")
 
 
 def _clustered(groups: DataFrame, edges: DataFrame, kind: int) -> DataFrame:
@@ -377,49 +454,46 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, t
     """Key, n_shingles, component_id and ``class`` (the set's digest): one row per row of ``docs``."""
     for_workers(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
-    sketch = written(_sketches(docs, _frequent(docs, k, threshold), k, threshold), "sketches")
+    sketch = freed(_sketches(docs, _frequent(docs, k, threshold), k, threshold), "sketches")
     full = sketch.where(F.col("n") > 0)
     # 1. Classes, and of each the document that stands for it.
-    classes = written(full.groupBy("digest").agg(F.min("key").alias("first"), F.min("mark").alias("mark"), F.count("*").alias("copies")), "classes")
-    copied = written(classes.where(F.col("copies") > 1).select(F.col("digest").alias("d"), F.col("mark").alias("m")), "copied")
+    classes = freed(full.groupBy("digest").agg(F.min("key").alias("first"), F.min("mark").alias("mark"), F.count("*").alias("copies")), "classes")
+    copied = freed(classes.where(F.col("copies") > 1).select(F.col("digest").alias("d"), F.col("mark").alias("m")), "copied")
     nodes = full.join(_small(copied), F.col("digest") == F.col("d"), "left").where(F.col("m").isNull() | (F.col("m") == F.col("mark")))
-    # 2. Groups by the least hash, in chunks of bounded size.
-    sizes = written(nodes.groupBy("least").agg(F.count("*").alias("size")).where(F.col("size") > 1).withColumnRenamed("least", "l"), "sizes")
+    # 2. Groups by the least hash and the band of the size, in chunks of bounded size.
+    nodes = nodes.withColumn("alike", F.xxhash64("least", _band(threshold)))
+    sizes = freed(nodes.groupBy(F.col("alike").alias("l")).agg(F.count("*").alias("size")).where(F.col("size") > 1), "sizes")
     chunk = F.pmod(F.xxhash64("digest"), F.ceil(F.col("size") / F.lit(GROUP_ROWS)))
-    group = F.when(F.col("size").isNull(), F.xxhash64("least")).otherwise(F.xxhash64("least", chunk))
-    nodes = nodes.join(_small(sizes), F.col("least") == F.col("l"), "left")
-    nodes = nodes.select("digest", "mark", "n", group.alias("group"), F.col("size").isNotNull().alias("many"), "shared", "tokens")
+    group = F.when(F.col("size").isNull(), F.col("alike")).otherwise(F.xxhash64("alike", chunk))
+    nodes = nodes.join(_small(sizes), F.col("alike") == F.col("l"), "left")
+    nodes = nodes.select("digest", "mark", "n", group.alias("group"), F.col("size").isNotNull().alias("many"), "tokens")
     # 3. The matrix: one row per token and group.
-    cells = nodes.select(F.explode("tokens").alias("token"), "group", "shared", "many")
-    matrix = cells.where(~F.col("many")).select("token", "group", "shared")
-    matrix = matrix.unionByName(cells.where("many").groupBy("token", "group").agg(F.min("shared").alias("shared")))
+    cells = nodes.select(F.explode("tokens").alias("token"), "group", "n", "many")
+    matrix = cells.where(~F.col("many")).select("token", "group", F.col("n").alias("lo"), F.col("n").alias("hi"))
+    matrix = matrix.unionByName(cells.where("many").groupBy("token", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
     # 4. The bound: groups that share enough tokens. Tokens of one group only are gone after this.
-    counts = matrix.groupBy("token").agg(F.count("*").alias("n"), F.min("group").alias("center")).where(F.col("n") > 1)
-    common = written(matrix.join(counts, "token"), "common")
-    cool = common.where(F.col("n") <= HOT).select("token", "group", "shared")
-    other = cool.select("token", F.col("group").alias("other"), F.col("shared").alias("also"))
-    pairs = cool.join(other, "token").where(F.col("group") < F.col("other")).groupBy("group", "other")
-    pairs = pairs.agg(F.count("*").alias("n"), F.min(F.least("shared", "also")).alias("must")).where(F.col("n") >= F.col("must"))
-    pairs = written(pairs.select(F.col("group").alias("a"), F.col("other").alias("b")), "pairs")
-    hot = written(common.where(F.col("n") > HOT).select(F.col("group").alias("a"), F.col("center").alias("b")).distinct(), "hot")
+    counts = matrix.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    common = freed(matrix.join(counts, "token"), "common")
+    pairs, hot = _edges(common, threshold)
     # 5. Opening: groups that qualify for each other form clusters, whose texts are read again.
     many = nodes.where("many").groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1).select(F.col("group").alias("o"))
     opened = _clustered(pairs.select(F.explode(F.array("a", "b")).alias("o")).unionByName(many).distinct(), pairs, 0)
     opened = opened.unionByName(_clustered(hot.select(F.explode(F.array("a", "b")).alias("o")).distinct(), hot, 1))
-    inside = nodes.select("digest", "mark", "n", "group").join(_small(written(opened, "opened")), F.col("group") == F.col("o")).drop("o").distinct()
-    inside = written(inside, "inside")
-    inside = written(_placed(inside, threshold), "placed")
-    marks = written(inside.select(F.col("mark").alias("m")).distinct(), "marks")
-    texts = docs.join(_small(marks), F.col("mark") == F.col("m"), "left_semi")
+    inside = nodes.select("digest", "mark", "n", "group").join(_small(freed(opened, "opened")), F.col("group") == F.col("o")).drop("o").distinct()
+    inside = freed(inside, "inside")
+    inside = freed(_placed(inside, threshold), "placed")
+    marks = freed(inside.select(F.col("mark").alias("m")).distinct(), "marks")
+    texts = _sieved(docs, marks)
     members = _whole_sets(texts, k).join(_small(inside), "digest")
-    links = components(_links(members, threshold))
+    rounds = _rounds(inside)
+    links = components(_links(freed(members, "members") if rounds > 1 else members, threshold, rounds))
     # Components by the least key; only classes that are copied or linked differ from their own key.
     of = classes.join(links, classes["digest"] == links["node"], "left").withColumn("r", F.coalesce("root", "digest"))
     roots = links.select(F.col("root").alias("q")).distinct()
-    linked = of.join(_small(written(roots, "roots")), F.col("r") == F.col("q"), "left").where(F.col("q").isNotNull() | (F.col("copies") > 1))
+    linked = of.join(_small(freed(roots, "roots")), F.col("r") == F.col("q"), "left").where(F.col("q").isNotNull() | (F.col("copies") > 1))
     least = linked.groupBy("r").agg(F.min("first").alias("component"))
     special = linked.select("digest", "r").join(least, "r").select(F.col("digest").alias("d"), "component")
-    out = sketch.select("key", "n", "digest").join(_small(written(special, "special")), F.col("digest") == F.col("d"), "left")
+    out = sketch.select("key", "n", "digest").join(_small(freed(special, "special")), F.col("digest") == F.col("d"), "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), F.col("digest").alias("class"))
 
 
@@ -432,14 +506,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", **params) -> DataFrame:
     """
     text = params.get("text", "text")
     body = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
-    rows = written(docs.withColumns({"__row": F.monotonically_increasing_id(), "__body": body}), "rows")
+    rows = freed(docs.withColumns({"__row": F.monotonically_increasing_id(), "__body": body}), "rows")
     found = join(rows, key="__row", **params).where(F.col("n_shingles") > 0).select(F.col("__row").alias("__id"), F.col("component_id").alias("__of"))
-    found = written(found, "found")
-    crowds = written(found.groupBy("__of").agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select(F.col("__of").alias("__crowd")), "crowds")
+    found = freed(found, "found")
+    crowds = freed(found.groupBy("__of").agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select(F.col("__of").alias("__crowd")), "crowds")
     crowded = found.join(_small(crowds), F.col("__of") == F.col("__crowd"), "left_semi")
     order = F.struct(F.col(key).isNull(), F.col(key), F.col("__body"), F.col("__row"))
-    members = rows.select(key, "__body", "__row").join(_small(written(crowded, "crowded")), F.col("__row") == F.col("__id")).select("__of", "__row", order.alias("__order"))
-    members = written(members, "members")
+    members = rows.select(key, "__body", "__row").join(_small(freed(crowded, "crowded")), F.col("__row") == F.col("__id")).select("__of", "__row", order.alias("__order"))
+    members = freed(members, "members")
     stays = members.groupBy("__of").agg(F.min("__order")["__row"].alias("__stays")).select("__stays")
-    gone = members.join(_small(written(stays, "stays")), F.col("__row") == F.col("__stays"), "left_anti").select(F.col("__row").alias("__gone"))
-    return rows.join(_small(written(gone, "gone")), F.col("__row") == F.col("__gone"), "left_anti").drop("__row", "__body")
+    gone = members.join(_small(freed(stays, "stays")), F.col("__row") == F.col("__stays"), "left_anti").select(F.col("__row").alias("__gone"))
+    return rows.join(_small(freed(gone, "gone")), F.col("__row") == F.col("__gone"), "left_anti").drop("__row", "__body")

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tensorloom.shipping import run_dir, ship
 
+#: Whether shuffle files are removed when a query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: evaluated once, lineage cut."""
@@ -25,6 +28,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`written`, but the write's shuffle files go at its end.
+
+    Else they stay until the driver collects its garbage, and those of several steps add up on the disk.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def blank(text: Column) -> Column:
     """A null text as the empty text."""
     return F.coalesce(text.cast("string"), F.lit(""))

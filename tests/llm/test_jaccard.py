@@ -1,11 +1,12 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tensorloom.llm import jaccard
+from tensorloom.llm import jaccard, scratch
 
 
 def brute(rows, k, threshold):
@@ -145,3 +146,81 @@ def test_word_hashes_tell_words_apart_wherever_they_stand(monkeypatch):
             assert of.setdefault(w, h) == h
     assert len(set(of.values())) == len(of)
     jaccard._powers.clear()
+
+
+@pytest.mark.parametrize("threshold", [50, 85, 100])
+def test_size_bounds_lose_no_link(spark, threshold):
+    """The prefix tokens asked of two ranges of sizes are no more than what any linked pair of sets in them shares."""
+    rng, rows = random.Random(threshold), []
+    for m in range(1, 60):
+        for n in range(m, 130):
+            both = -(-threshold * (m + n) // (100 + threshold))
+            shared = both - max(jaccard.needed(n, threshold) - jaccard.LEAST_SHARED, 0)
+            sides = [(max(1, x - rng.choice([0, 0, 3])), x + rng.choice([0, 0, 9])) for x in (m, n)]
+            rows.append((m, n, *sides[0], *sides[1], 100 * m >= threshold * n, shared, sides == [(m, m), (n, n)]))
+    can, must = jaccard._size_bounds("lo", "hi", "low", "high", threshold)
+    df = spark.createDataFrame(rows, "m int, n int, lo long, hi long, low long, high long, linked boolean, shared int, exact boolean")
+    for r in df.select("*", can.alias("can"), must.alias("must")).collect():
+        assert not r["linked"] or (r["can"] and r["must"] <= r["shared"]), r
+        assert not r["exact"] or r["can"] == r["linked"], r
+        assert not (r["exact"] and r["linked"]) or r["must"] >= min(jaccard.LEAST_SHARED, jaccard.needed(r["m"], threshold)), r
+
+
+def test_texts_of_unlike_sizes_are_not_opened(spark, monkeypatch):
+    """Texts that share prefix tokens but whose sizes rule out a link are not read again."""
+    opened = []
+    monkeypatch.setattr(jaccard, "freed", lambda df, name: (out := scratch.freed(df, name), opened.append(out.count()) if name == "placed" else None)[0])
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for _ in range(60):
+        base = [word() for _ in range(60)]
+        rows += [base, base + [word() for _ in range(60)]]
+    rows = list(enumerate(" ".join(r) for r in rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard.join(df)) == brute(rows, 4, 85)
+    assert opened == [0]
+
+
+def test_many_candidates_are_sieved_without_a_shuffle_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(jaccard, "SIEVE_BITS", 1 << 17)
+    docs = spark.range(5000).selectExpr("id as key", "xxhash64(cast(id as string)) as mark", "repeat('x ', 50) as text")
+    marks = docs.where("key % 25 = 0").select(F.col("mark").alias("m"))
+    left = jaccard._sieved(docs, marks)
+    assert left.columns == docs.columns
+    keys = [r["key"] for r in left.select("key").collect()]
+    assert len(set(keys)) == len(keys) and set(range(0, 5000, 25)) <= set(keys) and len(keys) < 260
+    assert "hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_clusters_are_compared_in_rounds(spark, monkeypatch):
+    """Sets that go to many units are sent in rounds, each to a few units; no link is lost."""
+    monkeypatch.setattr(jaccard, "UNIT_ROWS", 4)
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", 4)
+    names = []
+    monkeypatch.setattr(jaccard, "freed", lambda df, name: names.append(name) or scratch.freed(df, name))
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(f"x{i}" if j == at else w for j, w in enumerate(base))) for i in range(60) for at in [rng.randrange(120)]]
+    rows += [(60, " ".join(base)), (61, "some other text of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard.join(df)) == brute(rows, 4, 85)
+    assert 2 <= names.count("found") <= 16 and names.count("members") == 1
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    blocks, before = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(scratch.CLEANUP)
+
+    def files():
+        found = blocks.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    old = files()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("a")).agg(F.max("id").alias("b"))
+    jaccard.freed(df, "least")
+    till = time.time() + 20
+    while left := files() - old:
+        assert time.time() < till, left
+        time.sleep(0.2)
+    assert spark.conf.get(scratch.CLEANUP) == before
